@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm.ann import nearest
 from lodeframe.llm.embedding_dedup import embedding_links
+from lodeframe.llm.quality import quality
+from lodeframe.llm.sharding import sharded
 from lodeframe.llm.tables import read
 
 
@@ -15,20 +17,30 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op3_sharding": op3_sharding,
     "op5_ann": op5_ann,
+    "op6_quality": op6_quality,
 }
 
 #: DuckDB twins, where SQL can express the result.
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": """
         WITH RECURSIVE vectors AS (
-            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
         ), links AS (
             SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
@@ -41,7 +53,7 @@ ORACLE: dict[str, str] = {
     """,
     "op5_ann": """
         WITH vectors AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
             FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
