@@ -12,6 +12,7 @@ from lodeframe.llm.packing import pack
 from lodeframe.llm.pii import personal
 from lodeframe.llm.quality import quality
 from lodeframe.llm.sharding import sharded
+from lodeframe.llm.suffix_dedup import suffix_dedup
 from lodeframe.llm.tables import read
 
 
@@ -19,6 +20,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,6 +46,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
