@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeframe.llm.ann import nearest
 from lodeframe.llm.embedding_dedup import embedding_links
 from lodeframe.llm.packing import pack
+from lodeframe.llm.phrase_dedup import phrase_dedup
 from lodeframe.llm.pii import personal
 from lodeframe.llm.quality import quality
 from lodeframe.llm.sharding import sharded
@@ -36,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
+    "op7_phrase_dedup": op7_phrase_dedup,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
 }
