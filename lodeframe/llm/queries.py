@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeframe.llm.ann import nearest
 from lodeframe.llm.embedding_dedup import embedding_links
+from lodeframe.llm.jaccard import jaccard_links
 from lodeframe.llm.packing import pack
 from lodeframe.llm.phrase_dedup import phrase_dedup
 from lodeframe.llm.pii import personal
@@ -29,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id % 20 = 0")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op7_phrase_dedup": op7_phrase_dedup,
