@@ -1,10 +1,7 @@
-"""Registered queries over the given tables and their DuckDB twins."""
+"""All registered queries over the given tables and their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodeframe.plans.queries import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
