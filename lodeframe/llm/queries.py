@@ -13,6 +13,7 @@ from lodeframe.llm.packing import pack
 from lodeframe.llm.phrase_dedup import phrase_dedup
 from lodeframe.llm.pii import personal
 from lodeframe.llm.quality import quality
+from lodeframe.llm.sentencepiece import digests
 from lodeframe.llm.sharding import sharded
 from lodeframe.llm.suffix_dedup import suffix_dedup
 from lodeframe.llm.tables import read
@@ -54,6 +55,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_phrase_dedup": op7_phrase_dedup,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: DuckDB twins, where SQL can express the result.
