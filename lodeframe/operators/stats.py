@@ -19,7 +19,7 @@ def spearman(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group; null under two pairs or where a side is constant."""
     pairs = rows.select(*groups, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(pairs, groups, x, "_rx"), groups, y, "_ry")
-    made = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("pairs"), F.corr("_rx", "_ry").alias("_c"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    made = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("pairs"), (F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("_c"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
     defined = (F.col("pairs") >= 2) & (F.col("_x0") != F.col("_x1")) & (F.col("_y0") != F.col("_y1"))
     return made.select(*groups, "pairs", F.when(defined, F.round("_c", 6)).alias("spearman"))
 
