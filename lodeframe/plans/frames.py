@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def listing_id():
     """Order, line, part and supplier in one number: lines of the test tables repeat within an order."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return ((line * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("listing_id")
+    return ((line * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("listing_id")
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same offers for DuckDB, as common table expressions.
 LISTINGS_SQL = """
 base AS (
-    SELECT ((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey) * 10000 + l_suppkey AS listing_id, l_suppkey AS site_id, l_suppkey % 4 AS site_priority, l_partkey AS unit_id, l_orderkey AS order_id,
+    SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS listing_id, l_suppkey AS site_id, l_suppkey % 4 AS site_priority, l_partkey AS unit_id, l_orderkey AS order_id,
         CASE l_partkey % 4 WHEN 0 THEN 'CHINTAI' WHEN 1 THEN 'MANSION_BUY' WHEN 2 THEN 'KODATE_BUY' ELSE 'TOCHI_BUY' END AS property_family,
         CASE WHEN l_linenumber <> 7 THEN CAST(floor(l_extendedprice) AS BIGINT) END AS price,
         CASE WHEN l_discount >= 0.01 THEN CAST(floor(l_tax * 100 + 0.5) AS BIGINT) * 1000 END AS mgmt_fee_monthly,

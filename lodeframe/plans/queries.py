@@ -583,7 +583,7 @@ def rotation(spark, sf_dir):
 
 @query(
     """, gk AS (SELECT *, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk FROM listings),
-    m AS (SELECT ((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey) * 10000 + l_suppkey AS listing_id, l_tax >= 0.07 AS fav, l_discount >= 0.09 AS exc, CASE WHEN l_quantity = 50 THEN 'memo' END AS memo FROM lineitem WHERE l_tax >= 0.07 OR l_discount >= 0.09 OR l_quantity = 50),
+    m AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS listing_id, l_tax >= 0.07 AS fav, l_discount >= 0.09 AS exc, CASE WHEN l_quantity = 50 THEN 'memo' END AS memo FROM lineitem WHERE l_tax >= 0.07 OR l_discount >= 0.09 OR l_quantity = 50),
     f AS (SELECT gk, bool_or(fav) AS fav, bool_or(exc) AS exc, count(memo) AS memos FROM gk JOIN m USING (listing_id) GROUP BY 1)
     SELECT listing_id, coalesce(fav, false) AS is_favourite, coalesce(exc, false) AS is_excluded, coalesce(memos, 0) AS memos FROM gk LEFT JOIN f USING (gk)"""
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodeframe.plans import more_queries  # noqa: F401  registers its queries
 from lodeframe.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
