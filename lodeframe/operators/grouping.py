@@ -31,15 +31,14 @@ def _part(name: str) -> Column:
 def dedup_key() -> Column:
     """SHA-256 of version, family, address and the family's parts; null if any is missing, an error for an unknown family."""
     family = F.col("property_family")
-    key = F.raise_error(F.concat(F.lit("unknown family "), family))
+    whole = F.raise_error(F.concat(F.lit("unknown family "), family)).cast("string")
+    alike: dict[tuple[str, ...], list[str]] = {}
     for name, parts in PARTS.items():
-        columns = [F.nullif(F.col("address_normalized"), F.lit("")), *map(_part, parts)]
-        whole = F.sha2(F.concat_ws("|", F.lit(KEY_VERSION), F.lit(name), *columns), 256)
-        complete = columns[0].isNotNull()
-        for c in columns[1:]:
-            complete &= c.isNotNull()
-        key = F.when(family == name, F.when(complete, whole)).otherwise(key)
-    return key
+        alike.setdefault(parts, []).append(name)
+    for parts, names in alike.items():
+        columns = [c for p in ("address", *parts) for c in (F.lit("|"), F.nullif(F.col("address_normalized"), F.lit("")) if p == "address" else _part(p))]
+        whole = F.when(family.isin(names), F.concat(F.lit(KEY_VERSION + "|"), family, *columns)).otherwise(whole)  # null with any part
+    return F.sha2(whole, 256)
 
 
 def group_or_self() -> Column:
