@@ -46,33 +46,47 @@ def group_or_self() -> Column:
     return F.coalesce(F.concat(F.lit("g:"), F.col("dedup_key")), F.concat(F.lit("l:"), F.col("listing_id").cast("string")))
 
 
+def _best() -> Column:
+    """Aggregate: the cheapest active member (total, else price; unknown last), then most features, then site priority, then id."""
+    cost = F.coalesce("rent_total", "price")
+    order = F.struct(cost.isNull().alias("u"), cost.alias("cost"), (-F.col("feature_count")).alias("f"), F.col("site_priority").alias("p"), F.col("listing_id").alias("id"))
+    return F.min(F.when(F.col("status") == "active", order))
+
+
 def representatives(listings: DataFrame) -> DataFrame:
     """dedup_key, representative_id, representative_cost of every group with an active member.
 
-    The cheapest (total, else price; unknown last), then most features, then site priority, then id.
     A partial aggregate: members of a group never meet.
     """
-    cost = F.coalesce("rent_total", "price")
-    order = F.struct(cost.isNull().alias("u"), cost.alias("cost"), (-F.col("feature_count")).alias("f"), F.col("site_priority").alias("p"), F.col("listing_id").alias("id"))
-    best = listings.where("dedup_key is not null and status = 'active'").groupBy("dedup_key").agg(F.min(order).alias("b"))
+    best = listings.where("dedup_key is not null and status = 'active'").groupBy("dedup_key").agg(_best().alias("b"))
     return best.select("dedup_key", F.col("b.id").alias("representative_id"), F.col("b.cost").alias("representative_cost"))
 
 
-def membership(listings: DataFrame) -> DataFrame:
-    """listing_id, member_count (inactive members too), other_sites (active members elsewhere, sorted), is_representative."""
+def with_groups(listings: DataFrame) -> DataFrame:
+    """listings and member_count (inactive members too), other_sites (active members elsewhere, sorted), is_representative.
+
+    One aggregate and one join: the offers are read twice, not once per attribute.
+    """
     groups = listings.where("dedup_key is not null").groupBy("dedup_key").agg(
         F.count(F.lit(1)).alias("member_count"),
-        F.array_sort(F.collect_set(F.when(F.col("status") == "active", F.col("site_id")))).alias("sites"),
+        F.array_sort(F.collect_set(F.when(F.col("status") == "active", F.col("site_id")))).alias("_sites"),
+        _best()["id"].alias("_best"),
     )
-    whole = listings.select("listing_id", "dedup_key", "site_id").join(groups.join(representatives(listings), "dedup_key", "left"), "dedup_key", "left")
-    return whole.select(
-        "listing_id",
+    alone = F.col("dedup_key").isNull()
+    return listings.join(groups, "dedup_key", "left").select(
+        *listings.columns,
         F.coalesce("member_count", F.lit(1)).cast("long").alias("member_count"),
-        F.coalesce(F.array_remove("sites", F.col("site_id")), F.array().cast("array<long>")).alias("other_sites"),
-        F.coalesce(F.col("representative_id") == F.col("listing_id"), F.lit(True) & F.col("dedup_key").isNull()).alias("is_representative"),
+        F.coalesce(F.array_remove("_sites", F.col("site_id")), F.array().cast("array<long>")).alias("other_sites"),
+        (alone | F.coalesce(F.col("_best") == F.col("listing_id"), F.lit(False))).alias("is_representative"),
     )
 
 
+def membership(listings: DataFrame) -> DataFrame:
+    """listing_id, member_count, other_sites, is_representative."""
+    needed = ["listing_id", "dedup_key", "site_id", "site_priority", "rent_total", "price", "feature_count", "status"]
+    return with_groups(listings.select(*needed)).select("listing_id", "member_count", "other_sites", "is_representative")
+
+
 def group_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Groups whose representative changed: old and new, and whether the new one is strictly cheaper."""
     old = before.select("dedup_key", F.col("representative_id").alias("old_id"), F.col("representative_cost").alias("old_cost"))

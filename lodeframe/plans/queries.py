@@ -70,8 +70,7 @@ GROUP_SQL = """, chosen AS (
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = listings(spark, sf_dir)
-    return offers.join(grouping.membership(offers), "listing_id")
+    return grouping.with_groups(listings(spark, sf_dir))
 
 
 @query("SELECT listing_id, dedup_key FROM listings")
@@ -610,8 +609,7 @@ def utility_class(spark, sf_dir):
     SELECT CASE WHEN l.dedup_key IS NULL THEN 'none' WHEN contains(address_normalized, '丁目') THEN 'chome' ELSE 'town' END AS granularity, coalesce(g.n, 1) > 1 AS grouped, count(*) AS n FROM listings l LEFT JOIN g USING (dedup_key) GROUP BY 1, 2"""
 )
 def granularity_histogram(spark, sf_dir):
-    offers = listings(spark, sf_dir)
-    rows = offers.join(grouping.membership(offers), "listing_id")
+    rows = _views(spark, sf_dir)
     level = F.when(F.col("dedup_key").isNull(), "none").otherwise(grouping.granularity(F.col("address_normalized")))
     return rows.groupBy(level.alias("granularity"), (F.col("member_count") > 1).alias("grouped")).agg(F.count(F.lit(1)).alias("n"))
 
