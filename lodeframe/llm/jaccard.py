@@ -210,7 +210,7 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, recall: fl
     tiles = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("members"))
     units = max(1, placed.count() // tile)
     spread = (
-        texts.join(placed.join(tiles, "component"), "doc_id")
+        texts.join(placed.join(tiles, "component").hint("merge"), "doc_id")  # the same plan at every size
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
