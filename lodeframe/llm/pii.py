@@ -199,11 +199,12 @@ def learn(texts: list[str]) -> Field:
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Field:
     """Learned in one task from the `sample` documents with personal marks of the smallest hashes."""
-    some = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .where("text like '%@%' or text rlike '[0-9]'").select("text", F.xxhash64("doc_id").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"))
-        .orderBy("h", "c").limit(sample)
-    )
+    marked = documents.select(
+        F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")
+    ).where("instr(text, '@') > 0 or text rlike '[0-9]'")
+    # the hashes alone decide; only the texts of the sample move
+    edge = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = marked.where(F.col("h") <= F.lit(edge)).orderBy("h", "c").limit(sample).select("text")
 
     def run(table: pa.Table) -> pa.Table:
         import json
