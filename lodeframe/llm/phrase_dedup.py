@@ -30,7 +30,7 @@ from lodeframe.llm import windows as W
 from lodeframe.llm.tables import written
 
 WIDTH = 50
-SHARD_BYTES, PHRASES = 16 << 20, 50_000
+SHARD_BYTES, PHRASES = 8 << 20, 50_000
 U = np.uint64
 LETTERS = W.mix(np.arange(1, 257, dtype=U) * W.ODD)
 PHRASE = pa.schema([(c, pa.int64()) for c in ("h", "shard", "low", "high")])
@@ -66,7 +66,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def text_pieces(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     a, size = 0, 0
     for b in range(len(texts) + 1):
-        if b == len(texts) or (size and size + len(texts[b]) > 4 * W.PIECE):
+        if b == len(texts) or (size and size + len(texts[b]) > W.PIECE):
             if b > a:
                 yield np.arange(a, b), texts[a:b]
             a, size = b, 0

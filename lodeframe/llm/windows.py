@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 ODD, OTHER = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Symbols hashed at once; anchors folded at once within a task.
-PIECE, FOLD = 1 << 20, 1_500_000
+PIECE, FOLD = 1 << 20, 750_000
 
 ANCHOR = pa.schema([(c, pa.int64()) for c in ("h", "c", "x", "doc", "at")])
 ANCHOR_SQL = "h long, c long, x long, doc long, at long"
