@@ -121,9 +121,10 @@ def neighbours(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches))
-    if not len(table):
+    held = list(batches)
+    if not sum(map(len, held)):
         return
+    table = pa.Table.from_batches(held)
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
     doc = np.repeat(table["doc"].to_numpy(), TREES)
     first, later, before = neighbours(keys, doc)

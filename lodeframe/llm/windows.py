@@ -271,9 +271,10 @@ def compared(contexts: DataFrame, shape: Shape, symbols_of: Callable[[list[bytes
                 a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        held = list(batches)
+        if not sum(map(len, held)):
             return
+        table = pa.Table.from_batches(held)
         for some in groups(table.sort_by([("key", "ascending")])):
             symbols, lengths = symbols_of(some["content"].to_pylist())
             windows = np.maximum(0, lengths - shape.width + 1)
