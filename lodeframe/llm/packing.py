@@ -31,7 +31,6 @@ from lodeframe.llm.tables import numbered, written
 
 CAPACITY, GRAIN, END = 2048, 8, 1
 NUMBERED = 4000
-SPECIAL = "<|endoftext|>"
 
 
 def default_tokenizer() -> str:
@@ -47,11 +46,11 @@ def encoding(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
+    vocabulary, special = whole["model"]["vocab"], {t["content"]: t["id"] for t in whole["added_tokens"]}
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {bytes(letters[c] for c in word): rank for word, rank in vocabulary.items() if word != SPECIAL}
-    special = {SPECIAL: vocabulary[SPECIAL]} if SPECIAL in vocabulary else {}
+    ranks = {bytes(letters[c] for c in word): rank for word, rank in vocabulary.items() if word not in special}
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
