@@ -36,7 +36,7 @@ def test_equal_texts_move_together(spark):
 
 def test_a_group_larger_than_a_shard(spark, nothing):
     rows = [(k, "same" if k < 60 else f"text {k}") for k in range(100)]
-    placed = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).groupBy("shard").agg(F.count_if("doc_id < 60").alias("same"), F.count(F.lit(1)).alias("n")).collect()
+    placed = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).groupBy("shard").agg(F.count_if(F.col("doc_id") < 60).alias("same"), F.count(F.lit(1)).alias("n")).collect()
     assert {r.n for r in placed} == {10}
     assert sorted(r.same for r in placed)[-5:] == [10] * 5
     assert sharding.sharded(nothing).count() == 0
