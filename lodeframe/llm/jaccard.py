@@ -3,7 +3,8 @@
 Texts are sets of five-word shingles; two texts link if the Jaccard similarity of their sets is
 at least the threshold. Texts of equal sets form a class and are represented by their smallest
 doc_id. Every representative enters `TREES` prefix tries with a signature of `DEEPEST` minima
-each (one-permutation hashing, empty bins borrow from the next). Matched prefixes are shortened
+each (one-permutation hashing; an empty bin borrows from the first filled one in an order of its own, so
+that the trees of texts with few shingles stay independent). Matched prefixes are shortened
 from the deepest level until 1 - (1 - threshold^depth)^TREES reaches the target recall. Sorting
 by prefix puts sharers next to each other, so neighbours are joined instead of all pairs of a
 bucket. All representatives that hang together are then compared exactly, in tiles, with their
@@ -36,6 +37,8 @@ BINS = TREES * DEEPEST
 #: Texts in a tile; components up to this size share a task by about as many texts.
 TILE = 384
 U = np.uint64
+#: For each bin, all bins in an order of its own.
+LENDERS = np.argsort(W.mix(np.arange(1, BINS * BINS + 1, dtype=U) * W.ODD).reshape(BINS, BINS), axis=1)
 
 
 def depth_for(threshold: float, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
@@ -83,14 +86,17 @@ def signatures(value: np.ndarray, of: np.ndarray, n: int, depth: int) -> tuple[n
     low[row[first], bucket[first]] = value[first]
     filled = np.zeros((len(there), BINS), bool)
     filled[row[first], bucket[first]] = True
-    place = np.where(filled, np.arange(BINS), 4 * BINS)
-    ahead = np.concatenate([place, place + BINS], axis=1)
-    ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    distance = (ahead - np.arange(BINS)).astype(U)
-    dense = low[np.arange(len(there))[:, None], ahead % BINS] + distance * W.ODD
+    text, gap = np.nonzero(~filled)
+    for turn in range(BINS):
+        if not len(text):
+            break
+        lender = LENDERS[gap, turn]
+        lent = filled[text, lender]
+        low[text[lent], gap[lent]] = low[text[lent], lender[lent]]  # only gaps are written, only filled bins read
+        text, gap = text[~lent], gap[~lent]
     keys = np.broadcast_to(W.mix(np.arange(1, TREES + 1, dtype=U)), (len(there), TREES)).copy()
     for level in range(depth):
-        keys = W.mix(keys * W.OTHER + dense[:, level * TREES : (level + 1) * TREES])
+        keys = W.mix(keys * W.OTHER + low[:, level * TREES : (level + 1) * TREES])
     return there, prints.view(np.int64), keys.view(np.int64)
 
 
