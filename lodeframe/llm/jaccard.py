@@ -206,8 +206,12 @@ def _compared(threshold: float):
 
 def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_links (other documents at or above the threshold), component_id, kept."""
-    texts = W.text_documents(documents)
-    spark, depth = documents.sparkSession, depth_for(threshold, recall)
+    return linked(W.text_documents(documents), threshold, recall, tile)
+
+
+def linked(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """jaccard_links of texts (doc_id, text) whose doc_ids are unique."""
+    spark, depth = texts.sparkSession, depth_for(threshold, recall)
     signed = written(texts.mapInArrow(lambda b: _signed(b, depth), "doc long, f long, g long, keys binary"))
     classes = written(signed.groupBy("f", "g").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc").alias("keys")))
     groups = candidate_groups(classes.select(F.col("rep").alias("doc"), "keys"), parts_for(spark, signed.count() * TREES, 400_000))
@@ -244,6 +248,10 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 
 def first_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of documents, one document (the smallest doc_id) of each group of linked ones; rows without doc_id stay."""
-    dropped = jaccard_links(documents.select("doc_id", "text"), threshold).where("not kept").select("doc_id")
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    """All columns of documents, one row (the first by doc_id, null last) of each group of linked ones.
+
+    Every row is judged by its own text, also where rows share a doc_id or have none.
+    """
+    rows = W.keyed(documents, "_row")
+    dropped = linked(W.keyed_texts(rows, "_row"), threshold).where("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(dropped, "_row", "left_anti").select(*documents.columns)

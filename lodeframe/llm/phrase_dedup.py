@@ -228,13 +228,14 @@ def phrase_dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All columns of documents; texts that repeat passages of smaller doc_ids keep their other words, joined by one space.
+    """All columns of documents; texts that repeat passages of earlier rows keep their other words, joined by one space.
 
-    A text that loses nothing stays as it is, one that loses every word leaves. Needs unique doc_ids;
-    rows without one stay as they are.
+    Rows are ordered by doc_id, null last; those that share a doc_id or have none are documents of
+    their own. A text that loses nothing stays as it is, one that loses every word leaves.
     """
-    spans = W.by_document(repeated_words(W.text_documents(documents), width))
-    rows = documents.join(spans.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi"), "doc_id", "left")
+    keyed = W.keyed(documents, "_row")
+    spans = W.by_document(repeated_words(W.keyed_texts(keyed, "_row"), width))
+    rows = keyed.join(spans.select(F.col("doc_id").alias("_row"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "_row", "left")
     place = documents.columns.index("text")
     rows = rows.select(*documents.columns, "_lo", "_hi")
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.tables import written
+
 U = np.uint64
 ODD, OTHER = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Symbols hashed at once; anchors folded at once within a task.
@@ -313,3 +315,25 @@ def text_documents(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if twice else rows
+
+
+def keyed(documents: DataFrame, key: str) -> DataFrame:
+    """documents with a key of its own for every row, in order of doc_id (null last).
+
+    Unique doc_ids are their own keys. Otherwise rows are sorted by ranges of doc_id, a hash of all
+    columns and a distributed number, numbered in that order and written once.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    groups = documents.select(doc_id.alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not groups.where("n > 1 or doc_id is null").limit(1).count():
+        return documents.withColumn(key, doc_id)
+    spark = documents.sparkSession
+    rows = documents.withColumn("_all", F.xxhash64(*documents.columns)).withColumn(key, F.monotonically_increasing_id())
+    order = [doc_id.asc_nulls_last(), F.col("_all"), F.col(key)]
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return written(rows.withColumn(key, F.monotonically_increasing_id()).drop("_all"))
+
+
+def keyed_texts(rows: DataFrame, key: str) -> DataFrame:
+    """doc_id (the key) and text of every row."""
+    return rows.select(F.col(key).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
