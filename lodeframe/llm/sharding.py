@@ -1,10 +1,13 @@
-"""Balanced label propagation: documents move to the shards of their links, counts stay even.
+"""Balanced label propagation: groups of equal texts gather in shards, counts stay even.
 
-Links join documents of equal text. Every round, each group of equal texts looks for the shard
-that holds most of it, among the shards that still have unlinked documents to give away; its
-other members ask to move there. Up to as many are let in as the shard holds unlinked documents,
-and unlinked documents leave in exchange, so the number of documents in every shard never
-changes. Only native DataFrame operations run; groups are never gathered, only counted per shard.
+Links join documents of equal text. Shards have as many places as documents were dealt to them.
+Every round, each group that isn't placed asks for the shard that holds most of it (after the
+first round: for one drawn by its free places), among the shards with room for the whole group;
+shards let groups in while they have room, whoever held the places before. Rounds go on until few groups are
+left; those, and the groups of more than an eighth of a shard, are fitted one by one, largest
+first, from their counts per shard. A group is split only if no shard has room for it, into as
+large parts as there is room. Unlinked documents take the places that remain and leave shards in
+exchange. Only native DataFrame operations run; groups are never gathered, only counted per shard.
 
 The law is `rows`: counts differ by one at most. Defined cases: a null text counts 16 bytes, has
 the checksum of the empty text and no links; empty texts are equal texts; rows with a repeated or
@@ -19,7 +22,9 @@ from pyspark.sql.window import Window
 
 from lodeframe.llm.tables import numbered, written
 
-SHARDS, ROUNDS = 40, 6
+SHARDS = 40
+#: Groups of more than a LARGE-th of a shard, and the last GATHERED groups, are fitted by the driver.
+LARGE, GATHERED = 8, 2000
 #: Rows that one task numbers.
 NUMBERED = 4000
 IDENTITY = ("doc_id", "text_crc32", "size")
@@ -46,47 +51,100 @@ def _buckets(rows: int) -> int:
     return max(4, -(-rows // NUMBERED))
 
 
-def propagate(state: DataFrame, shards: int, total: int, rounds: int) -> DataFrame:
-    """state: identity columns, link (null: none) and shard, with even counts -> the same, moved."""
+def fitted(groups: list[tuple[str, int, dict[int, int]]], room: dict[int, int]) -> list[tuple[str, int, int, int]]:
+    """(link, members, members by shard), and places by shard, which are taken -> (link, first, end, shard).
+
+    Largest first, into the shard that it fills best (of equal ones, that holds most of it).
+    """
+    parts = []
+    for link, members, held in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at = 0
+        while at < members:
+            left = members - at
+            whole = [s for s, places in room.items() if places >= left]
+            if whole:
+                shard = min(whole, key=lambda s: (room[s], -held.get(s, 0), s))
+            else:
+                shard = max(room, key=lambda s: (room[s], held.get(s, 0), -s))
+            take = min(left, room[shard])
+            parts.append((link, at, at + take, shard))
+            room[shard] -= take
+            at += take
+    return parts
+
+
+def _asked(groups: DataFrame, room: dict[int, int], turn: int) -> DataFrame:
+    """groups (link, members, held) -> with goal (null: no shard has room for all of the group)."""
+    options = []
+    for shard, places in room.items():
+        if places:
+            draw = (F.pmod(F.xxhash64("link", F.lit(shard), F.lit(turn)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+            held = F.coalesce(F.try_element_at("held", F.lit(shard)), F.lit(0)) if not turn else F.lit(0)
+            option = F.struct(held.cast("long").alias("n"), (F.ln(draw) / places).alias("weight"), F.lit(shard).alias("shard"))
+            options.append(F.when(F.col("members") <= places, option))
+    best = F.array_max(F.array_compact(F.array(*options)))
+    return groups.withColumn("goal", best["shard"])
+
+
+def _let_in(asked: DataFrame, room: dict[int, int], buckets: int) -> DataFrame:
+    """Those that ask, with `goes`: running sums of members by goal, bucket after bucket, within its room."""
+    marked = asked.where("goal is not null").withColumn("_bucket", F.pmod(F.xxhash64(F.lit(7), "link"), F.lit(buckets)))
+    sizes = marked.groupBy("goal", "_bucket").agg(F.sum("members").alias("_n"))
+    before = Window.partitionBy("goal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("goal", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inner = Window.partitionBy("goal", "_bucket").orderBy("link").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = F.create_map(*[F.lit(x) for pair in room.items() for x in pair])
+    end = F.sum("members").over(inner) + F.col("_shift")
+    return marked.join(shifts, ["goal", "_bucket"]).withColumn("goes", end <= F.element_at(places, F.col("goal"))).drop("_bucket", "_shift")
+
+
+def propagate(state: DataFrame, shards: int, total: int) -> DataFrame:
+    """state: identity columns, place, link (of unlinked documents their own) and shard, with even counts -> the same, moved."""
     spread = _buckets(total // shards)
-    for _ in range(rounds):
-        per = state.where("link is not null").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        members = Window.partitionBy("link")
-        per = written(per.withColumn("members", F.sum("n").over(members)).where("members > 1"))
-        single = state.join(per.select("link", "shard", "n"), ["link", "shard"], "left").where("n is null")
-        free = {r["shard"]: r["n"] for r in single.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
-        if not free:
-            return state
-        open_ = F.when(F.col("shard").isin(list(free)), F.struct("n", F.xxhash64("link", "shard").alias("h"), "shard"))
-        goals = per.withColumn("best", F.max(open_).over(members)).select(
-            "link", "shard", "n", F.col("best.shard").alias("goal"), F.coalesce(F.col("best.n") >= F.col("n"), F.lit(False)).alias("goes")
-        )
-        marked = state.join(goals, ["link", "shard"], "left")
-        movers = marked.where("goes and goal <> shard").select(*IDENTITY, "link", "shard", "goal")
-        let_in = F.create_map(*[F.lit(x) for pair in free.items() for x in pair])
-        ranked = numbered(movers, ["goal"], [F.col("link"), *map(F.col, IDENTITY)], "place", spread)
-        ranked = written(ranked.withColumn("moves", F.coalesce(F.col("place") < F.try_element_at(let_in, F.col("goal")), F.lit(False))))
-        gone = {(r["shard"], r["goal"]): r["n"] for r in ranked.where("moves").groupBy("shard", "goal").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards squared at most
-        if not gone:
-            return state
-        net = {s: sum(n for (_, b), n in gone.items() if b == s) - sum(n for (a, _), n in gone.items() if a == s) for s in range(shards)}
-        flows = exchange(net)
-        rest = marked.where("goal is not null and not (goes and goal <> shard)").select(*IDENTITY, "link", "shard")
-        closed = marked.where("n is not null and goal is null").select(*IDENTITY, "link", "shard")
-        moved = ranked.select(*IDENTITY, "link", F.when(F.col("moves"), F.col("goal")).otherwise(F.col("shard")).alias("shard"))
-        lone = numbered(marked.where("n is null").select(*IDENTITY, "link", "shard"), ["shard"], [F.col(x) for x in IDENTITY], "place", spread)
-        to = F.lit(None).cast("int")
-        for giver in {f[0] for f in flows}:
-            steps = F.lit(None).cast("int")
-            for _, low, high, taker in (f for f in flows if f[0] == giver):
-                steps = F.when((F.col("place") >= low) & (F.col("place") < high), F.lit(taker)).otherwise(steps)
-            to = F.when(F.col("shard") == giver, steps).otherwise(to)
-        lone = lone.select(*IDENTITY, "link", F.coalesce(to, F.col("shard")).alias("shard"))
-        state = written(rest.unionByName(closed).unionByName(moved).unionByName(lone))
-    return state
-
-
-def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    per = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
+    held = F.map_from_entries(F.collect_list(F.struct("shard", "n")))
+    groups = written(per.groupBy("link").agg(F.sum("n").alias("members"), held.alias("held")).where("members > 1"))
+    room = {s: total // shards + (s < total % shards) for s in range(shards)}
+    taken = lambda rows: [(r["link"], r["members"], r["held"]) for r in rows.select("link", "members", "held").collect()]
+    large = F.col("members") * LARGE > total // shards
+    parts = fitted(taken(groups.where(large)), room)  # 2 * LARGE groups a shard at most
+    left, settled, turn = groups.where(~large), [], 0
+    while (waiting := left.count()) > max(GATHERED, shards):
+        round_ = written(_let_in(_asked(left, room, turn), room, _buckets(waiting // shards)))
+        goes = round_.where("goes")
+        for r in goes.groupBy("goal").agg(F.sum("members").alias("n")).collect():  # one row a shard
+            room[r["goal"]] -= r["n"]
+        settled.append(goes.select("link", "goal"))
+        left = written(left.join(goes.select("link"), "link", "left_anti"))
+        turn += 1
+    parts += fitted(taken(left), room)
+    columns = [*IDENTITY, "place", "link", "shard"]
+    by_hand = F.broadcast(state.sparkSession.createDataFrame(parts, "link string, low long, high long, goal int"))
+    rest = state.join(F.broadcast(by_hand.select("link").distinct()), "link", "left_anti").select(*columns)
+    at_hand = state.join(F.broadcast(by_hand.select("link").distinct()), "link").select(*columns)
+    at = numbered(at_hand, ["link"], [F.col("place")], "at", spread)
+    moved = at.join(by_hand, "link").where("at >= low and at < high").select(*IDENTITY, F.col("goal").alias("shard"))
+    if settled:
+        goals = settled[0]
+        for more in settled[1:]:
+            goals = goals.unionByName(more)
+        rest = written(rest.join(goals, "link", "left").select(*columns, "goal"))
+        moved = moved.unionByName(rest.where("goal is not null").select(*IDENTITY, F.col("goal").alias("shard")))
+        rest = rest.where("goal is null").select(*columns)
+    singles = {r["shard"]: r["n"] for r in rest.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
+    flows = exchange({s: singles.get(s, 0) - room[s] for s in range(shards)})
+    lone = numbered(rest, ["shard"], [F.col("place")], "at", spread)
+    to = F.lit(None).cast("int")
+    for giver in {f[0] for f in flows}:
+        steps = F.lit(None).cast("int")
+        for _, low, high, taker in (f for f in flows if f[0] == giver):
+            steps = F.when((F.col("at") >= low) & (F.col("at") < high), F.lit(taker)).otherwise(steps)
+        to = F.when(F.col("shard") == giver, steps).otherwise(to)
+    lone = lone.select(*IDENTITY, F.coalesce(to, F.col("shard")).alias("shard"))
+    return written(moved.unionByName(lone))
+
+
+def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """documents (doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.col("text").cast("string")
     rows = written(
@@ -99,8 +157,9 @@ def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     )
     total = rows.count()
     dealt = numbered(rows.withColumn("all", F.lit(0)), ["all"], [F.col(x) for x in IDENTITY], "place", _buckets(total))
-    state = written(dealt.select(*IDENTITY, "link", (F.col("place") % shards).cast("int").alias("shard")))
-    state = propagate(state, shards, total, rounds)
+    own = F.coalesce("link", F.concat(F.lit("-"), F.col("place").cast("string")))
+    state = written(dealt.select(*IDENTITY, "place", own.alias("link"), (F.col("place") % shards).cast("int").alias("shard")))
+    state = propagate(state, shards, total)
     return numbered(state, ["shard"], [F.col(x) for x in IDENTITY], "slot", _buckets(total // shards)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
