@@ -13,7 +13,7 @@ from lodeframe.llm.packing import pack
 from lodeframe.llm.phrase_dedup import phrase_dedup
 from lodeframe.llm.pii import personal
 from lodeframe.llm.quality import quality
-from lodeframe.llm.sentencepiece import digests
+from lodeframe.llm.sentencepiece import round_trip
 from lodeframe.llm.sharding import sharded
 from lodeframe.llm.suffix_dedup import suffix_dedup
 from lodeframe.llm.tables import read
@@ -56,7 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
