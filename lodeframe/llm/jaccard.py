@@ -1,12 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest, with exact verification.
 
 Texts are sets of five-word shingles; two texts link if the Jaccard similarity of their sets is
 at least the threshold. Texts of equal sets form a class and are represented by their smallest
-doc_id. Every representative enters `TREES` prefix tries with a signature of `DEEPEST` minima
-each (one-permutation hashing; an empty bin borrows from the first filled one in an order of its own, so
-that the trees of texts with few shingles stay independent). Matched prefixes are shortened
-from the deepest level until 1 - (1 - threshold^depth)^TREES reaches the target recall. Sorting
-by prefix puts sharers next to each other, so neighbours are joined instead of all pairs of a
+doc_id. Every representative gets `TREES` keys, each folded from as many minima (one-permutation
+hashing; an empty bin borrows from the first filled one in an order of its own, so that the keys of
+texts with few shingles stay independent). How many is the most, up to `DEEPEST`, for which
+1 - (1 - threshold^depth)^TREES reaches the target recall: it follows from the constants, is the
+same for all texts, and no other depth is tried. Sorting
+by key puts sharers next to each other, so neighbours are joined instead of all pairs of a
 bucket. All representatives that hang together are then compared exactly, in tiles, with their
 whole shingle sets; no candidate is capped.
 
