@@ -30,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Like written(), in `parts` buckets by key: joins and groups by that key need no further shuffle."""
+    spark = df.sparkSession
+    name = f"lodeframe_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns of a table, so that others can't clash and aren't scanned."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -203,7 +203,7 @@ def test_pieces_are_those_of_the_library(spark, documents, corpus, nothing):
     old, sentencepiece.FREQUENT = sentencepiece.FREQUENT, 20
     try:
         made = sentencepiece.sequences(docs).cache()
-        sums = {r.doc_id: (r.n_words, r.n_pieces) for r in sentencepiece.digests(docs).collect()}
+        sums = {r.doc_id: (r.n_words, r.n_pieces) for r in sentencepiece.round_trip(docs).collect()}
     finally:
         sentencepiece.FREQUENT = old
     found = {r.doc_id: list(r.ids) for r in made.collect()}
@@ -211,13 +211,4 @@ def test_pieces_are_those_of_the_library(spark, documents, corpus, nothing):
     assert all(sums[d][1] == len(ids) for d, ids in found.items())
     texts = {r.doc_id: r.text for r in sentencepiece.decoded(made).collect()}
     assert texts == {d: (t or "").replace("▁", " ") for d, t in rows}
-    assert sentencepiece.digests(nothing).count() == 0
-
-
-def test_viterbi_fold_finds_the_best_path(spark):
-    edges = [(0, 1, 1, -1.0), (1, 1, 2, -1.0), (2, 1, 3, -1.0), (0, 2, 4, -1.5), (1, 2, 5, -0.2)]
-    rows = spark.createDataFrame([(3, [(s, n, i, x, None) for s, n, i, x in sorted(edges)])], "n int, edges array<struct<s:int,l:int,id:int,score:double,raw:string>>")
-    mask = rows.select(sentencepiece.viterbi_fold(F.col("edges"), F.col("n")).alias("m")).first().m
-    assert mask == 0b1011
-    listed = [{"s": s, "l": n, "id": i, "score": x, "raw": None} for s, n, i, x in sorted(edges)]
-    assert sentencepiece.merged(listed, 3, True, 3) == [1, 5]
+    assert sentencepiece.round_trip(nothing).count() == 0
