@@ -2,35 +2,42 @@
 
 The rules give the base spans; they always stay. The field runs over the candidate tokens of a
 document (accepted spans, and number-like, address-like or user-name-like tokens that no rule
-accepted) with the labels other, email, ip, card, phone. Neighbouring candidates share a weak
-chain potential; candidates of equal or similar form (same letters, same last digits), however
+accepted) with the labels other, email, ip, card, phone. Neighbouring candidates share a chain
+potential; candidates of equal or similar form (same letters, same last digits), however
 far apart, share a skip potential. Loopy sum-product message passing then lets a token that no
 rule accepted take the label of the entity it repeats. Skip links join each occurrence to the
 one before it, so they grow with the text and not with its square.
 
-The weights are learned from a sample of at most `SAMPLE` documents: label shares by form and
-neighbours, and the share of linked tokens whose labels agree, read off accepted spans. REJECTED
-is the potential against a token that the rules turned down. Chain potentials are kept below it,
-so a document without accepted spans, or without a link to one, keeps its base spans as they are;
-message passing is left out there because it can't change anything.
+The weights (by form, chain and skip) maximise the pseudo-likelihood of a sample of at most `SAMPLE`
+documents under a Gaussian prior. What is learned from: every accepted token that repeats another one,
+as though the rules had turned it down, and every rejected token without a relative, which is `other`.
+The prior means are REJECTED against a token that the rules turned down and LINKED for agreement.
+A token that no chain of links joins to an accepted one stays unmarked, so a document without accepted
+spans keeps its base spans as they are. Messages are damped and stop when they settle, or after ROUNDS.
 
 Defined cases: null text counts as empty and has no spans; rows with a repeated or null doc_id
-are handled row by row; empty tables give no rows; extra columns are ignored.
+are handled row by row; empty tables give no rows; extra columns are ignored; rules, candidates, links
+and messages are linear in the text, however long its tokens are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.components import forest
+
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, REJECTED, CHAIN_MOST, ROUNDS = 2000, 3.0, 0.5, 12
+SAMPLE, REJECTED, LINKED, ROUNDS = 2000, 3.0, 5.0, 60
 # fixed values: the forms of the base rules
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +45,9 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ANY_DIGIT = re.compile(r"[0-9]")
-NUMBERS = re.compile(r"\+?[0-9(][0-9 ().-]{5,}[0-9]")
-NAMES = re.compile(r"[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+)+(?:@[A-Za-z0-9.-]*)?|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*")
+NUMBERS = re.compile(r"[0-9 ().-]{6,}")
+NAMES = re.compile(r"[A-Za-z0-9._%+@-]+")
+APART = re.compile(r"[._%+-]{2,}")
 
 Span = tuple[int, int, int]
 
@@ -107,15 +115,39 @@ def _keys(token: str, kind: int) -> list[str]:
     return ["#" + digits] + ["~" + digits[-10:]] * (len(digits) >= 10) if kind != 1 and token.count(".") != 3 else ["=" + token]
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits and their separators, from the first digit or bracket to the last digit; each run is read once."""
+    for run in NUMBERS.finditer(text):
+        whole = run.group().rstrip(" ().-")
+        start = len(whole) - len(whole.lstrip(" ).-"))
+        if whole and len(whole) - start >= 7:
+            plus = text[run.start() - 1 : run.start()] == "+" and not start and whole[0] != " "
+            yield run.start() + start - plus, run.start() + len(whole)
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Joined words with a letter, or what surrounds an at sign."""
+    for run in NAMES.finditer(text):
+        at, ends = run.start(), [m.span() for m in APART.finditer(run.group())] + [(len(run.group()),) * 2]
+        begin = 0
+        for low, high in ends:
+            part = run.group()[begin:low]
+            name = part.strip("._%+-")
+            if ("@" in name and len(name) > 1) or (not name.isalnum() and any(map(str.isalpha, name))):
+                skip = at + begin + len(part) - len(part.lstrip("._%+-"))
+                yield skip, skip + len(name)
+            begin = high
+
+
 def candidates(text: str, base: list[Span]) -> tuple[list[Span], list[tuple[int, int]]]:
     """(label or -1, start, end) in text order, and skip links between them."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     nodes = list(base)
-    starts = np.array([a for a, _ in taken]), np.array([b for _, b in taken])
-    for m in [*NUMBERS.finditer(text), *(x for x in NAMES.finditer(text) if not x.group()[0].isdigit() or any(map(str.isalpha, x.group())))]:
-        k = int(np.searchsorted(starts[0], m.end()))
-        if not (k and starts[1][:k].max() > m.start()):
-            nodes.append((-1, m.start(), m.end()))
+    for a, b in {*_numbers(text), *_names(text)}:
+        k = bisect_left(starts, b)
+        if not (k and reach[k - 1] > a):
+            nodes.append((-1, a, b))
     nodes.sort(key=lambda x: (x[1], x[2], x[0]))
     last: dict[str, int] = {}
     links = set()
@@ -152,8 +184,14 @@ def passed(unary: np.ndarray, edges: list[tuple[int, int]], potentials: list[np.
     return total
 
 
+def _related(kinds: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """Whether a chain of links joins each node to an accepted one."""
+    label = forest(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64), len(kinds))
+    return np.isin(label, label[kinds >= 0])
+
+
 class Field:
-    """Learned potentials: label shares by form, chain and skip agreement."""
+    """Learned potentials: labels by form, chain and skip agreement."""
 
     def __init__(self, forms: dict[str, list[float]], chain: np.ndarray, skip: float):
         self.forms, self.chain, self.skip = forms, chain, skip
@@ -162,39 +200,64 @@ class Field:
         if not base:
             return []
         nodes, links = candidates(text, base)
-        if not any((nodes[a][0] < 0) != (nodes[b][0] < 0) for a, b in links):
+        kinds = np.array([k for k, _, _ in nodes])
+        open_ = (kinds < 0) & _related(kinds, links) if links else np.zeros(len(nodes), bool)
+        if not open_.any():
             return []
-        unary = np.zeros((len(nodes), 5))
-        for n, (kind, a, b) in enumerate(nodes):
-            if kind >= 0:
-                unary[n] = -12.0
-                unary[n, kind + 1] = 0.0
-            else:
-                unary[n, 1:] = np.minimum(0, self.forms.get(_form(text[a:b]), [0.0] * 4)) * 0.1 - REJECTED
+        unary = np.full((len(nodes), 5), -30.0)
+        unary[np.arange(len(nodes)), kinds + 1] = 0.0
+        for n in np.flatnonzero(open_):
+            unary[n, 1:] = self.forms.get(_form(text[nodes[n][1] : nodes[n][2]]), [-REJECTED] * 4)
         same = np.diag([0.0, *[self.skip] * 4])  # agreement on an entity counts, agreement on none does not
         edges = [(n, n + 1) for n in range(len(nodes) - 1)] + links
-        belief = passed(unary, edges, [self.chain] * (len(nodes) - 1) + [same] * len(links))
-        return [(int(belief[n].argmax()) - 1, a, b) for n, (kind, a, b) in enumerate(nodes) if kind < 0 and belief[n].argmax() > 0]
+        best = passed(unary, edges, [self.chain] * (len(nodes) - 1) + [same] * len(links)).argmax(axis=1)
+        return [(int(best[n]) - 1, *nodes[n][1:]) for n in np.flatnonzero(open_) if best[n] > 0]
 
 
-def learn(texts: list[str]) -> Field:
-    forms: dict[str, np.ndarray] = {}
-    chain, agree, differ = np.ones((5, 5)), 1.0, 1.0
+def learn(texts: list[str], steps: int = 400, rate: float = 0.5, width: float = 2.0) -> Field:
+    """The potentials of the greatest pseudo-likelihood, with a Gaussian prior of standard deviation `width`."""
+    names: dict[str, int] = {}
+    form, label, left, right, near = [], [], [], [], []
     for text in texts:
         base = base_spans(text)
         if not base:
             continue
         nodes, links = candidates(text, base)
-        for kind, a, b in nodes:
-            forms.setdefault(_form(text[a:b]), np.ones(5))[kind + 1 if kind >= 0 else 0] += 1
-        for (x, *_), (y, *_) in zip(nodes, nodes[1:], strict=False):
-            chain[max(x, -1) + 1, max(y, -1) + 1] += 1
+        kinds = np.array([k for k, _, _ in nodes]) + 1
+        votes = np.zeros((len(nodes), 5))
+        linked = np.zeros(len(nodes), bool)
         for x, y in links:
-            if nodes[x][0] >= 0 and nodes[y][0] >= 0:
-                agree, differ = agree + (nodes[x][0] == nodes[y][0]), differ + (nodes[x][0] != nodes[y][0])
-    share = {k: np.log(v[1:] / v[1:].sum()).tolist() for k, v in forms.items()}
-    lift = np.log(chain * chain.sum() / np.outer(chain.sum(1), chain.sum(0)))
-    return Field(share, np.clip(lift * 0.1, -CHAIN_MOST / 2, CHAIN_MOST / 2), float(np.clip(np.log(agree / differ), REJECTED + 2, REJECTED + 4)))
+            linked[[x, y]] = True
+            votes[x, kinds[y]] += 1
+            votes[y, kinds[x]] += 1
+        votes[:, 0] = 0
+        for n in np.flatnonzero(((kinds > 0) & (votes.sum(axis=1) > 0)) | ((kinds == 0) & ~linked)):
+            form.append(names.setdefault(_form(text[nodes[n][1] : nodes[n][2]]), len(names)))
+            label.append(kinds[n])
+            left.append(kinds[n - 1] if n else 5)
+            right.append(kinds[n + 1] if n + 1 < len(nodes) else 5)
+            near.append(votes[n])
+    by_form, chain, skip = np.full((len(names), 5), -REJECTED), np.zeros((5, 5)), LINKED
+    by_form[:, 0] = 0
+    n = len(label)
+    if n:
+        form, label, left, right, near = np.array(form), np.array(label), np.array(left), np.array(right), np.stack(near)
+        truth = np.eye(5)[label]
+        for _ in range(steps):
+            edge = np.vstack([chain, np.zeros(5)])  # no neighbour beyond an end
+            score = by_form[form] + edge[left] + np.vstack([chain.T, np.zeros(5)])[right] + skip * near
+            share = np.exp(score - score.max(axis=1, keepdims=True))
+            wrong = truth - share / share.sum(axis=1, keepdims=True)
+            to_form, to_chain = np.zeros_like(by_form), np.zeros((6, 5))
+            np.add.at(to_form, form, wrong)
+            np.add.at(to_chain, left, wrong)
+            to_right = np.zeros((6, 5))
+            np.add.at(to_right, right, wrong)
+            prior = width**2
+            by_form[:, 1:] += rate * (to_form[:, 1:] - (by_form[:, 1:] + REJECTED) / prior) / (1 + np.bincount(form, minlength=len(names))[:, None])
+            chain += rate * (to_chain[:5] + to_right[:5].T - chain / prior) / (1 + n)
+            skip += rate * ((wrong * near).sum() - (skip - LINKED) / prior) / (1 + near.sum())
+    return Field({k: by_form[i, 1:].tolist() for k, i in names.items()}, chain, float(skip))
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Field:
@@ -207,13 +270,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Field:
     some = marked.where(F.col("h") <= F.lit(edge)).orderBy("h", "c").limit(sample).select("text")
 
     def run(table: pa.Table) -> pa.Table:
-        import json
-
         field = learn(sorted(table["text"].to_pylist()))
         return pa.table({"field": [json.dumps([field.forms, field.chain.tolist(), field.skip])]})
 
-    import json
-
     row = some.groupBy(F.lit(0).alias("one")).applyInArrow(run, "field string").first()
     if row is None:
         return learn([])

@@ -126,6 +126,52 @@ def test_rules_are_linear_in_long_texts():
         pii.base_spans(text)
 
 
+def test_spans_are_linear_in_long_texts():
+    import time
+
+    field = pii.learn(["write a.b7@c.de or a.b7@c.de, code 1234567890"])
+    mail = " a.b7@c.de "
+    for text in (mail + "x" * 1_000_000, mail + "(" * 1_000_000, mail + "Zm9v" * 250_000, mail + "a." * 500_000, mail + "1 " * 500_000, mail + "a@" * 500_000, mail * 100_000, mail + "a..b " * 200_000):
+        start = time.process_time()
+        pii.spans(text, field)
+        assert time.process_time() - start < 20, text[:40]  # the quadratic scan took hours; a linear one some seconds
+
+
+def test_training_moves_the_weights():
+    repeats = ["ask jo.7@x.org or jo.7@x.org"] * 40
+    lone = ["ask jo.7@x.org for ab.cd.99"] * 40
+    plain, taught = pii.learn([]), pii.learn(repeats + lone)
+    assert plain.skip == pii.LINKED and taught.skip > plain.skip + 0.1
+    assert max(taught.forms["name2"]) < -pii.REJECTED - 0.5
+    text = "ask jo.7@x.org; user jo.7 and ab.cd.99"
+    base, found = pii.spans(text, taught)
+    assert [text[a:b] for k, a, b in found if (k, a, b) not in base] == []  # `jo.7` is too short to be the same user for sure
+    text = "ask joan.77@x.org; user joan.77 and ab.cd.99"
+    base, found = pii.spans(text, taught)
+    assert [text[a:b] for k, a, b in found if (k, a, b) not in base] == ["joan.77"]
+    loose = pii.Field(taught.forms, taught.chain, 0.0)
+    assert pii.spans(text, loose)[1] == base  # without the skip potential nothing is added
+
+
+def test_a_small_document_agrees_with_enumeration():
+    """The labels of a skip-chain document are those of the exact marginals."""
+    field = pii.learn(["ask joan.77@x.org or joan.77@x.org, then 555 1234 99"] * 5)
+    text = "joan.77@x.org wrote joan.77, then joan.77 and 555 1234 99"
+    base = pii.base_spans(text)
+    nodes, links = pii.candidates(text, base)
+    same = np.diag([0.0, *[field.skip] * 4])
+    whole = np.zeros((5,) * len(nodes))
+    related = pii._related(np.array([k for k, _, _ in nodes]), links)
+    for states in np.ndindex(*whole.shape):
+        for n, (kind, a, b) in enumerate(nodes):
+            fixed = kind >= 0 or not related[n]
+            whole[states] += (0.0 if states[n] == kind + 1 else -30.0) if fixed else (0.0, *field.forms.get(pii._form(text[a:b]), [-pii.REJECTED] * 4))[states[n]]
+        whole[states] += sum(field.chain[states[n], states[n + 1]] for n in range(len(nodes) - 1)) + sum(same[states[x], states[y]] for x, y in links)
+    exact = [np.logaddexp.reduce(np.moveaxis(whole, n, 0).reshape(5, -1), axis=1).argmax() for n in range(len(nodes))]
+    added = [(int(k) - 1, a, b) for k, (kind, a, b) in zip(exact, nodes, strict=True) if kind < 0 and k > 0]
+    assert field.added(text, base) == added and added
+
+
 def test_linked_tokens_take_the_label():
     text = "write bosbt.42@mail8.example.com or +1 (988) 555-2485 now. Later 988-555-2485, user bosbt.42; code 1234567890123456"
     base, spans = pii.spans(text, pii.learn([text]))
