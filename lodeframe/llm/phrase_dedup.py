@@ -5,13 +5,15 @@ smaller doc_id; every word that such a window covers is removed.
 
 1. Confirm: the 10-word phrases that every window must contain (see `windows`) are counted over
    the corpus; a phrase recurs if its smallest and largest doc_id differ.
-2. Compile: documents are dealt into shards of about `SHARD_BYTES`; each shard compiles
-   Aho-Corasick automata of the recurring phrases that occur in it, `PHRASES` to an automaton.
-3. Stream: the documents of the shard run through its automata, which report every occurrence.
+2. Compile: the confirmed phrases, spelt in words, go to every shard of documents (about
+   `SHARD_BYTES` each) that holds one of them; the shard compiles them into Aho-Corasick automata
+   once, `PHRASES` to an automaton.
+3. Stream: the documents of the shard run through all its automata, which alone report where
+   confirmed phrases occur.
 4. Check: occurrences with their contexts are compared across the corpus, so that a window is
    removed exactly if it is a repeat.
 
-Words are compared by 64-bit hashes. Defined cases: a null text has no words; texts of fewer than
+Words are compared by 64-bit hashes, inside phrases by 32 bits each; results are exact up to hash collisions. Defined cases: a null text has no words; texts of fewer than
 WIDTH words lose nothing; of several rows with one doc_id the one with the smallest text counts;
 rows without doc_id are left out; empty tables give no rows; extra columns are ignored.
 """
@@ -27,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import windows as W
-from lodeframe.llm.tables import written
+from lodeframe.llm.tables import parts_for, written
 
 WIDTH = 50
 SHARD_BYTES, PHRASES = 8 << 20, 50_000
 U = np.uint64
 LETTERS = W.mix(np.arange(1, 257, dtype=U) * W.ODD)
-PHRASE = pa.schema([(c, pa.int64()) for c in ("h", "shard", "low", "high")])
+PHRASE = pa.schema([*((c, pa.int64()) for c in ("h", "shard", "low", "high")), ("spelt", pa.binary())])
+PART = 16 << 20
 
 
 def shape_for(width: int) -> W.Shape:
@@ -75,18 +78,21 @@ def text_pieces(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarra
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], shape: W.Shape) -> Iterator[pa.RecordBatch]:
-    """A row for each phrase and shard of the task: h, shard, smallest and largest doc_id."""
+    """A row for each phrase and shard of the task: h, shard, smallest and largest doc_id, its words."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        h, shard, doc = (np.concatenate([x[k] for x in held]) for k in range(3))
+        h, shard, doc, words = (np.concatenate([x[k] for x in held]) for k in range(4))
         order = np.lexsort((doc, shard, h))
         h, shard, doc = h[order], shard[order], doc[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(h)) - 1 if len(at) else at
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], shard[at], doc[at], doc[last])], schema=PHRASE)
+        spelt = words[order[at]]
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * shape.gram)
+        column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(spelt))])
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h[at], shard[at], doc[at], doc[last])), column], schema=PHRASE)
 
     for batch in batches:
         ids, shards = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -97,7 +103,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], shape: W.Shape) -> Iterator[pa.R
             gram, ends = W.mix(W.hashes(symbols, shape.gram)), np.cumsum(counts)
             at = W.picked(gram, ends, counts, shape)
             owner = rows[np.searchsorted(ends, at, side="right")]
-            held.append((gram[at].view(np.int64), shards[owner], ids[owner]))
+            held.append((gram[at].view(np.int64), shards[owner], ids[owner], short(symbols)[at[:, None] + np.arange(shape.gram)]))
             size += len(at)
             if size >= W.FOLD:
                 yield flush()
@@ -108,35 +114,50 @@ def _phrases(batches: Iterator[pa.RecordBatch], shape: W.Shape) -> Iterator[pa.R
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), PHRASE)  # one of the partitions that the shuffle made
-    h, shard, low, high = (table[c].to_numpy() for c in PHRASE.names)
+    h, shard, low, high = (table[c].to_numpy() for c in PHRASE.names[:4])
     order = np.lexsort((shard, h))
     h, shard, low, high = h[order], shard[order], low[order], high[order]
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     if len(at):
         several = np.repeat(np.minimum.reduceat(low, at) < np.maximum.reduceat(high, at), np.diff(np.append(at, len(h))))
         several &= np.append(True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1]))
-        h, shard = h[several], shard[several]
-    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h)], names=["shard", "h"])
+        order, shard = order[several], shard[several]
+    spelt = table["spelt"].combine_chunks() if len(h) else pa.array([], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(shard), spelt.take(pa.array(order))], names=["shard", "spelt"])
 
 
-def located(symbols: np.ndarray, counts: np.ndarray, gram: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Places of every occurrence of the phrases that start at `places`, found by Aho-Corasick automata."""
+def short(symbols: np.ndarray) -> np.ndarray:
+    """32 bits of every word's hash."""
+    return (symbols >> U(32)).astype("<u4")
+
+
+def written_as(codes: np.ndarray) -> str:
+    """Numbers from 1 on as letters, without surrogates."""
+    return np.where(codes >= 0xD800, codes + 0x800, codes).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def compiled(phrases: np.ndarray) -> Iterator[tuple[np.ndarray, object]]:
+    """phrases (a row of words each) -> for every PHRASES of them the words that have a letter, and the automaton."""
     import ahocorasick
 
-    found = [np.zeros(0, np.int64)]
-    starts = np.cumsum(counts) - counts
-    for k in range(0, len(places), PHRASES):
-        phrases = symbols[places[k : k + PHRASES][:, None] + np.arange(length)]
-        alphabet, spelt = np.unique(phrases, return_inverse=True)
-        near = np.minimum(np.searchsorted(alphabet, symbols), len(alphabet) - 1)
-        code = np.where(alphabet[near] == symbols, near + 1, 0)
-        write = lambda x: np.where(x >= 0xD800, x + 0x800, x).astype("<u4").tobytes().decode("utf-32-le")  # noqa: E731  letters without surrogates
+    length = phrases.shape[1]
+    for k in range(0, len(phrases), PHRASES):
+        alphabet, spelt = np.unique(phrases[k : k + PHRASES], return_inverse=True)
         automaton = ahocorasick.Automaton()
-        whole = write(spelt.ravel() + 1)
+        whole = written_as(spelt.ravel() + 1)
         for a in range(0, len(whole), length):
             automaton.add_word(whole[a : a + length], 1)
         automaton.make_automaton()
-        stream = write(code)
+        yield alphabet, automaton
+
+
+def located(symbols: np.ndarray, counts: np.ndarray, automata: list[tuple[np.ndarray, object]], length: int) -> np.ndarray:
+    """Places in documents laid end to end where the automata report a phrase."""
+    found, words = [np.zeros(0, np.int64)], short(symbols)
+    starts = np.cumsum(counts) - counts
+    for alphabet, automaton in automata:
+        near = np.minimum(np.searchsorted(alphabet, words), len(alphabet) - 1)
+        stream = written_as(np.where(alphabet[near] == words, near + 1, 0))
         for start, count in zip(starts.tolist(), counts.tolist(), strict=True):
             if count >= length:
                 ends = np.fromiter((end for end, _ in automaton.iter(stream, start, start + count)), np.int64)
@@ -146,22 +167,18 @@ def located(symbols: np.ndarray, counts: np.ndarray, gram: np.ndarray, places: n
 
 def _streamed(shape: W.Shape):
     def run(key: tuple, phrases: pa.Table, documents: pa.Table) -> pa.Table:
-        wanted = np.unique(phrases["h"].to_numpy())
+        spelt = np.frombuffer(b"".join(phrases["spelt"].to_pylist()), "<u4").reshape(-1, shape.gram)
+        automata = list(compiled(spelt))  # once for all documents of the shard
         documents = documents.sort_by([("doc_id", "ascending")])
         ids, texts = documents["doc_id"].to_numpy(), documents["text"].cast(pa.binary()).to_pylist()
 
         def pieces() -> Iterator[dict[str, np.ndarray]]:
-            for rows, some in text_pieces(ids, texts):
+            for rows, some in text_pieces(ids, texts) if automata else ():
                 symbols, counts = word_hashes(some)
-                if not len(wanted) or len(symbols) < shape.width:
-                    continue
-                gram = W.mix(W.hashes(symbols, shape.gram))
-                at = W.picked(gram, np.cumsum(counts), counts, shape)
-                near = np.minimum(np.searchsorted(wanted, gram[at].view(np.int64)), len(wanted) - 1)
-                at = at[wanted[near] == gram[at].view(np.int64)]
-                places = at[np.unique(gram[at], return_index=True)[1]]
-                if len(places):
-                    yield W.anchors(symbols, counts, ids[rows], shape, at=located(symbols, counts, gram, places, shape.gram))
+                if len(symbols) >= shape.width:
+                    at = located(symbols, counts, automata, shape.gram)
+                    if len(at):
+                        yield W.anchors(symbols, counts, ids[rows], shape, at=at)
 
         return pa.Table.from_batches(list(W.fold_rows(pieces(), shape)), W.ANCHOR)
 
@@ -192,8 +209,8 @@ def repeated_words(texts: DataFrame, width: int = WIDTH, shard_bytes: int = SHAR
     shape = shape_for(width)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     dealt = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // shard_bytes)))).alias("shard"))
-    phrases = dealt.mapInArrow(lambda b: _phrases(b, shape), "h long, shard long, low long, high long")
-    recurring = phrases.repartition("h").mapInArrow(_recurring, "shard long, h long")
+    phrases = dealt.mapInArrow(lambda b: _phrases(b, shape), "h long, shard long, low long, high long, spelt binary")
+    recurring = phrases.repartition(parts_for(texts.sparkSession, total, PART), "h").mapInArrow(_recurring, "shard long, spelt binary")
     occurrences = recurring.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_streamed(shape), W.ANCHOR_SQL)
     found = written(W.classes(occurrences, shape))
     asked = found.where("key is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "side", "lo")).alias("asked"))

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodeframe.llm import jaccard, phrase_dedup, suffix_dedup, windows
@@ -49,12 +50,14 @@ def test_phrase_dedup_is_exact(documents, corpus):
 def test_many_automata_find_the_same(corpus):
     texts = [(t or "").encode() for _, t in corpus]
     symbols, counts = phrase_dedup.word_hashes(texts)
-    gram = windows.mix(windows.hashes(symbols, 3))
     places = np.arange(0, 200, 7)
-    whole = phrase_dedup.located(symbols, counts, gram, places, 3)
+    phrases = phrase_dedup.short(symbols)[places[:, None] + np.arange(3)]
+    whole = phrase_dedup.located(symbols, counts, list(phrase_dedup.compiled(phrases)), 3)
     old, phrase_dedup.PHRASES = phrase_dedup.PHRASES, 5
     try:
-        assert np.array_equal(whole, phrase_dedup.located(symbols, counts, gram, places, 3))
+        automata = list(phrase_dedup.compiled(phrases))
+        assert len(automata) > 1
+        assert np.array_equal(whole, phrase_dedup.located(symbols, counts, automata, 3))
     finally:
         phrase_dedup.PHRASES = old
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -63,6 +66,22 @@ def test_many_automata_find_the_same(corpus):
     assert whole.tolist() == brute
 
 
+def test_only_automata_report_phrases():
+    """A shard whose phrases are left out of the automata reports nothing of them."""
+    text = " ".join(f"w{k}" for k in range(80))
+    run = phrase_dedup._streamed(phrase_dedup.shape_for(50))
+    documents = pa.table({"doc_id": pa.array([1, 2]), "text": [text, text + " end"]})
+    symbols, _ = phrase_dedup.word_hashes([text.encode()])
+    gram = windows.mix(windows.hashes(symbols, 10))
+    at = windows.picked(gram, np.array([80]), np.array([80]), phrase_dedup.shape_for(50))
+    spelt = [phrase_dedup.short(symbols)[k : k + 10].tobytes() for k in at]
+    phrases = lambda some: pa.table({"shard": pa.array([0] * len(some)), "spelt": pa.array(some, pa.binary())})
+    assert sorted(run((0,), phrases(spelt), documents)["doc"].to_pylist())[0] == 1
+    assert run((0,), phrases([]), documents).num_rows == 0
+    one = run((0,), phrases(spelt[:1]), documents)
+    assert set(one["h"].to_numpy()[one["at"].to_numpy() >= 0].tolist()) == {int(gram[at[0]].view(np.int64))}
+
+
 def test_repeated_and_missing_ids(spark, nothing):
     rows = spark.createDataFrame([(1, "a" * 150), (1, "a" * 150), (None, "a" * 150), (2, "a" * 150)], "doc_id long, text string")
     found = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(rows).collect()}
