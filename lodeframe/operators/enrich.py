@@ -93,9 +93,10 @@ def median_with_fallback(rows: DataFrame, keys: list[str], value: str, primary:
 def longest_contained(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:
     """texts and the longest name of their scope that the text contains (first by name on ties), null without one.
 
-    An equi-join on the scope: names of other scopes are never compared.
+    The names of a scope become one array, longest first, that texts meet by an equi-join; Spark broadcasts
+    it if its size allows. Equal texts stay rows of their own.
     """
-    found = texts.join(names.select(F.col(scope), F.col(name).alias("_name")), scope, "left").withColumn("_hit", F.col(text).contains(F.col("_name")))
-    keys = texts.columns
-    best = F.min(F.when(F.col("_hit"), F.struct((-F.length("_name")).alias("l"), F.col("_name").alias("n"))))
-    return found.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.n").alias(name))
+    order = F.struct((-F.length(name)).alias("l"), F.col(name).alias("n"))
+    scopes = names.where(F.col(name).isNotNull()).groupBy(scope).agg(F.array_sort(F.collect_set(order))["n"].alias("_names"))
+    hit = F.get(F.filter("_names", lambda n: F.col(text).contains(n)), F.lit(0))
+    return texts.join(scopes, scope, "left").select(*texts.columns, hit.alias(name))

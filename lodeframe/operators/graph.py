@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.numbers import haversine_km, ride_minutes
+from lodeframe.sources.stored import written
 
 
 def rail_edges(stations: DataFrame, links: DataFrame, penalty: float = 10.0) -> DataFrame:
@@ -25,27 +26,28 @@ def rail_edges(stations: DataFrame, links: DataFrame, penalty: float = 10.0) ->
     return both("a", "b").unionByName(both("b", "a")).unionByName(enter).unionByName(leave)
 
 
-def shortest(edges: DataFrame, origins: DataFrame, rounds: int = 200) -> DataFrame:
+def shortest(edges: DataFrame, origins: DataFrame, rounds: int = 200, hops: int = 4) -> DataFrame:
     """node, minutes, transfers, km: least minutes from any origin, ties by transfers, then km.
 
-    Each round relaxes the edges out of the nodes that the last one improved, so work follows the
-    frontier; nothing is collected but the count that ends the loop.
+    Each round relaxes the edges out of the nodes that the last one improved, `hops` times before its
+    result is stored, so work follows the frontier; nothing is collected but the count that ends the loop.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeframe-"))
+    edges = written(edges)
     zero = F.struct(F.lit(0.0).alias("minutes"), F.lit(0).cast("long").alias("transfers"), F.lit(0.0).alias("km"))
-    best = origins.select(F.col("node"), zero.alias("d")).distinct().checkpoint()
-    front = best
+    best = origins.select(F.col("node"), zero.alias("d"), F.lit(True).alias("improved")).distinct()
+    step = F.struct((F.col("d.minutes") + F.col("minutes")).alias("minutes"), (F.col("d.transfers") + F.col("transfers")).alias("transfers"), (F.col("d.km") + F.col("km")).alias("km"))
     for _ in range(rounds):
-        step = F.struct((F.col("d.minutes") + F.col("minutes")).alias("minutes"), (F.col("d.transfers") + F.col("transfers")).alias("transfers"), (F.col("d.km") + F.col("km")).alias("km"))
-        reached = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), step.alias("d")).groupBy("node").agg(F.min("d").alias("new"))
-        merged = best.join(reached, "node", "full").select("node", F.coalesce(F.least("d", "new"), "d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d"))).alias("improved")).checkpoint()
-        front, best = merged.where("improved").select("node", "d"), merged.select("node", "d")
+        best = written(best)
+        front = best.where("improved").select("node", "d")
         if not front.limit(1).count():
             return best.select("node", "d.minutes", "d.transfers", "d.km")
+        reached = None
+        for _ in range(hops):
+            front = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), step.alias("d")).groupBy("node").agg(F.min("d").alias("d"))
+            reached = front if reached is None else reached.unionByName(front)
+        new = reached.groupBy("node").agg(F.min("d").alias("new"))
+        improved = F.col("d").isNull() | F.coalesce(F.col("new") < F.col("d"), F.lit(False))
+        best = best.drop("improved").join(new, "node", "full").select("node", F.coalesce(F.least("d", "new"), "d", "new").alias("d"), improved.alias("improved"))
     raise RuntimeError("paths did not settle")
 
 

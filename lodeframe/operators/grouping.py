@@ -46,11 +46,19 @@ def group_or_self() -> Column:
     return F.coalesce(F.concat(F.lit("g:"), F.col("dedup_key")), F.concat(F.lit("l:"), F.col("listing_id").cast("string")))
 
 
-def _best() -> Column:
-    """Aggregate: the cheapest active member (total, else price; unknown last), then most features, then site priority, then id."""
+#: Two hashes of the group's key, or of the offer's own id without one: never null, and cheap to sort and join by.
+GROUP = ["_g", "_h"]
+
+
+def _grouped(listings: DataFrame) -> DataFrame:
+    key = group_or_self()
+    return listings.select("*", F.xxhash64(key).alias("_g"), F.xxhash64(key, F.lit(1)).alias("_h"))
+
+
+def _order(*payload: Column) -> Column:
+    """The cheapest active member (total, else price; unknown last), then most features, then site priority, then id."""
     cost = F.coalesce("rent_total", "price")
-    order = F.struct(cost.isNull().alias("u"), cost.alias("cost"), (-F.col("feature_count")).alias("f"), F.col("site_priority").alias("p"), F.col("listing_id").alias("id"))
-    return F.min(F.when(F.col("status") == "active", order))
+    return F.struct(cost.isNull().alias("u"), cost.alias("cost"), (-F.col("feature_count")).alias("f"), F.col("site_priority").alias("p"), F.col("listing_id").alias("id"), *payload)
 
 
 def representatives(listings: DataFrame) -> DataFrame:
@@ -58,27 +66,34 @@ def representatives(listings: DataFrame) -> DataFrame:
 
     A partial aggregate: members of a group never meet.
     """
-    best = listings.where("dedup_key is not null and status = 'active'").groupBy("dedup_key").agg(_best().alias("b"))
+    best = listings.where("dedup_key is not null and status = 'active'").groupBy("dedup_key").agg(F.min(_order()).alias("b"))
     return best.select("dedup_key", F.col("b.id").alias("representative_id"), F.col("b.cost").alias("representative_cost"))
 
 
+def representative_rows(listings: DataFrame) -> DataFrame:
+    """Only the representatives, with member_count: their columns travel with the aggregate, so offers are read once and joined with nothing."""
+    stands = (F.col("status") == "active") | F.col("dedup_key").isNull()
+    whole = F.struct(*listings.columns).alias("row")
+    groups = _grouped(listings).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("member_count"), F.min(F.when(stands, _order(whole))).alias("b"))
+    return groups.where("b is not null").select("b.row.*", "member_count")
+
+
 def with_groups(listings: DataFrame) -> DataFrame:
     """listings and member_count (inactive members too), other_sites (active members elsewhere, sorted), is_representative.
 
     One aggregate and one join: the offers are read twice, not once per attribute.
     """
-    groups = listings.where("dedup_key is not null").groupBy("dedup_key").agg(
-        F.count(F.lit(1)).alias("member_count"),
-        F.array_sort(F.collect_set(F.when(F.col("status") == "active", F.col("site_id")))).alias("_sites"),
-        _best()["id"].alias("_best"),
-    )
+    rows = _grouped(listings)
+    active = F.col("status") == "active"
+    groups = rows.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("member_count"), F.collect_set(F.when(active, F.col("site_id"))).alias("_sites"), F.min(F.when(active, _order()))["id"].alias("_best")
+    )
     alone = F.col("dedup_key").isNull()
-    return listings.join(groups, "dedup_key", "left").select(
-        *listings.columns,
-        F.coalesce("member_count", F.lit(1)).cast("long").alias("member_count"),
-        F.coalesce(F.array_remove("_sites", F.col("site_id")), F.array().cast("array<long>")).alias("other_sites"),
+    others = F.array_sort(F.array_remove("_sites", F.col("site_id")))
+    return rows.join(groups, GROUP).select(
+        *listings.columns, "member_count", F.when(alone, F.array().cast("array<long>")).otherwise(others).alias("other_sites"),
         (alone | F.coalesce(F.col("_best") == F.col("listing_id"), F.lit(False))).alias("is_representative"),
-    )
+    )
 
 
 def membership(listings: DataFrame) -> DataFrame:
@@ -96,9 +111,13 @@ def group_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def union_features(listings: DataFrame) -> DataFrame:
-    """listing_id and the sorted feature codes of its whole group, inactive members included."""
-    codes = listings.select(group_or_self().alias("gk"), F.explode("feature_codes").alias("code")).distinct().groupBy("gk").agg(F.array_sort(F.collect_list("code")).alias("feature_codes"))
-    return listings.select("listing_id", group_or_self().alias("gk")).join(codes, "gk", "left").select("listing_id", F.coalesce("feature_codes", F.array().cast("array<string>")).alias("feature_codes"))
+    """listing_id and the sorted feature codes of its whole group, inactive members included.
+
+    Only distinct sets of codes travel: as many as the dictionary has, whatever the group's size.
+    """
+    rows = _grouped(listings.select("listing_id", "dedup_key", "feature_codes"))
+    codes = rows.groupBy(*GROUP).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("feature_codes")))).alias("_codes"))
+    return rows.join(codes, GROUP).select("listing_id", F.coalesce("_codes", F.array().cast("array<string>")).alias("feature_codes"))
 
 
 def folded_flag(flag: Column) -> Column:
@@ -107,17 +126,18 @@ def folded_flag(flag: Column) -> Column:
 
 
 def group_stats(listings: DataFrame, by: str = "site_id") -> DataFrame:
-    """Per site: listings, with a key, distinct keys, key rate, unique rate (0 without listings), groups shared with other sites."""
-    shared = listings.where("dedup_key is not null").groupBy("dedup_key").agg((F.min(by) != F.max(by)).alias("shared"))
-    rates = listings.groupBy(by).agg(
-        F.count(F.lit(1)).alias("listings"), F.count("dedup_key").alias("keyed"), F.countDistinct("dedup_key").alias("groups"),
-    )
-    across = listings.select(by, "dedup_key").distinct().join(shared, "dedup_key").groupBy(by).agg(F.count_if("shared").alias("shared_groups"))
-    return (
-        rates.join(across, by, "left")
-        .withColumn("key_rate", F.round(F.col("keyed") / F.col("listings"), 4))
-        .withColumn("unique_rate", F.round(F.when(F.col("keyed") == 0, 0.0).otherwise(F.col("groups") / F.nullif(F.col("keyed"), F.lit(0))), 4))
-        .withColumn("shared_groups", F.coalesce("shared_groups", F.lit(0)).cast("long"))
+    """Per site: listings, with a key, distinct keys, key rate, unique rate (0 without listings), groups shared with other sites.
+
+    Offers are counted per site and key once; what follows works on those counts.
+    """
+    key, there = F.col("dedup_key"), F.col("dedup_key").isNotNull()
+    pairs = listings.groupBy(by, "dedup_key").agg(F.count(F.lit(1)).alias("n"))
+    sites = pairs.withColumn("sites", F.when(there, F.count(F.lit(1)).over(Window.partitionBy("dedup_key"))))  # a key has one row a site
+    made = sites.groupBy(by).agg(
+        F.sum("n").alias("listings"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("keyed"), F.count(key).alias("groups"), F.count_if(F.col("sites") > 1).alias("shared_groups")
+    )
+    return made.withColumn("key_rate", F.round(F.col("keyed") / F.col("listings"), 4)).withColumn(
+        "unique_rate", F.round(F.when(F.col("keyed") == 0, 0.0).otherwise(F.col("groups") / F.nullif(F.col("keyed"), F.lit(0))), 4)
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -76,20 +77,25 @@ def _result(spec: Requirement, wanted: Any) -> Column:
     return F.when(~F.col("detail_fetched"), UNKNOWN).when(F.size(missing) == 0, PASS).otherwise(FAIL)
 
 
-def checks(wanted: dict[str, Any], list_stage: bool = False) -> Column:
-    """array of struct(name, result) in registry order; list_stage: what a list page can't decide is unknown."""
+def results(wanted: dict[str, Any], list_stage: bool = False) -> dict[str, Column]:
+    """Result by name, in registry order; list_stage: what a list page can't decide is unknown."""
     if unknown := set(wanted) - set(REQUIREMENTS) - {"unknown_policy"}:
         raise ValueError(f"unknown requirements: {sorted(unknown)}")
-    made = [
-        F.struct(F.lit(name).alias("name"), (F.lit(UNKNOWN) if list_stage and not spec.on_list else _result(spec, wanted[name])).alias("result"))
+    return {
+        name: F.lit(UNKNOWN) if list_stage and not spec.on_list else _result(spec, wanted[name])
         for name, spec in REQUIREMENTS.items()
         if imposed(wanted.get(name))
-    ]
+    }
+
+
+def checks(wanted: dict[str, Any], list_stage: bool = False) -> Column:
+    """array of struct(name, result)."""
+    made = [F.struct(F.lit(name).alias("name"), r.alias("result")) for name, r in results(wanted, list_stage).items()]
     return F.array(*made) if made else F.array().cast("array<struct<name:string,result:string>>")
 
 
-def worst(found: Column) -> Column:
-    has = lambda r: F.exists(found, lambda x: x["result"] == r)
+def worst(found: dict[str, Column]) -> Column:
+    has = lambda r: reduce(Column.__or__, (x == r for x in found.values()), F.lit(False))
     return F.when(has(FAIL), FAIL).when(has(UNKNOWN), UNKNOWN).otherwise(PASS)
 
 
@@ -103,5 +109,5 @@ def names(found: Column, result: str) -> Column:
 
 def evaluated(views: DataFrame, wanted: dict[str, Any], list_stage: bool = False) -> DataFrame:
     """views and must_checks, must (the worst result), must_passes (by unknown_policy, keep by default)."""
-    with_checks = views.withColumn("must_checks", checks(wanted, list_stage))
-    return with_checks.withColumn("must", worst(F.col("must_checks"))).withColumn("must_passes", passes(F.col("must"), wanted.get("unknown_policy", "keep")))
+    overall = worst(results(wanted, list_stage))
+    return views.select("*", checks(wanted, list_stage).alias("must_checks"), overall.alias("must"), passes(overall, wanted.get("unknown_policy", "keep")).alias("must_passes"))

@@ -25,13 +25,23 @@ def price_event(is_new: Column, reinstated: Column, new: Column, old: Column) ->
     )
 
 
-def upserted(stored: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[str], sticky: list[str], seen: str) -> DataFrame:
+def last_of_each(batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by `order`, ties and batches without an order by all columns (the largest)."""
+    rest = [c for c in batch.columns if c not in keys]
+    first = [F.col(order).alias("_o")] if order else []
+    picked = batch.groupBy(*keys).agg(F.max(F.struct(*first, F.struct(*rest).alias("_row"))).alias("_m"))
+    return picked.select(*keys, "_m._row.*").select(*batch.columns)
+
+
+def upserted(stored: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[str], sticky: list[str], seen: str, order: str | None = None) -> DataFrame:
     """Stored rows after a batch, with price_prev, relation and event of the rows it touched.
 
     overwrite: the batch's value even if null; sticky: the old value where the batch has none.
     Rows of another family, or of another type while active, stay as they are. A retyped row starts
     anew. Both sides have type, family, status, price and first_seen. `seen` is the batch's time.
+    A key that comes several times in a batch counts once, by its last row (see last_of_each).
     """
+    batch = last_of_each(batch, keys, order)
     a, b = stored.alias("a"), batch.alias("b")
     both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full")
     there, comes = F.col(f"a.{keys[0]}").isNotNull(), F.col(f"b.{keys[0]}").isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.functions.numbers import share_of_range
+from lodeframe.sources.stored import written
 
 #: metric -> whether lower is better
 METRICS = {
@@ -45,43 +46,57 @@ class Numeric:
 ITEM = "struct<code:string,kind:string,weight:double,s:double,status:string,missing:boolean,value:double>"
 
 
-def _feature(item: Feature) -> Column:
+@dataclass(frozen=True)
+class Part:
+    """One item as plain columns: what it adds, whether it counts, how it is reported."""
+
+    code: str
+    kind: str
+    weight: float
+    s: Column
+    status: Column
+    missing: Column
+    value: Column
+
+    @property
+    def struct(self) -> Column:
+        fields = {"code": F.lit(self.code), "kind": F.lit(self.kind), "weight": F.lit(float(self.weight)), "s": self.s, "status": self.status, "missing": self.missing, "value": self.value}
+        return F.struct(*(c.alias(k) for k, c in fields.items())).cast(ITEM)
+
+
+def _feature(item: Feature) -> Part:
     hit = F.arrays_overlap(F.coalesce("feature_codes", F.array().cast("array<string>")), F.array(*map(F.lit, item.codes)))
     known = F.coalesce(F.col("detail_fetched"), F.lit(False))
-    return F.struct(
-        F.lit(item.key).alias("code"), F.lit("feature").alias("kind"), F.lit(float(item.weight)).alias("weight"),
-        F.when(known & hit, 1.0).otherwise(0.0).alias("s"),
-        F.when(~known, "unknown").when(hit, "hit").otherwise("miss").alias("status"),
-        F.lit(False).alias("missing"), F.lit(None).cast("double").alias("value"),
-    ).cast(ITEM)
+    status = F.when(~known, "unknown").when(hit, "hit").otherwise("miss")
+    return Part(item.key, "feature", item.weight, F.when(known & hit, 1.0).otherwise(0.0), status, F.lit(False), F.lit(None).cast("double"))
 
 
-def _numeric(item: Numeric) -> Column:
+def _numeric(item: Numeric) -> Part:
     value = F.col(item.metric).cast("double")
     s = F.when(value.isNull(), 0.0).otherwise(share_of_range(value, item.best, item.worst))
-    return F.struct(
-        F.lit(item.metric).alias("code"), F.lit("numeric").alias("kind"), F.lit(float(item.weight)).alias("weight"), s.alias("s"),
-        F.when(value.isNull(), "unknown").when(s > 0, "hit").otherwise("miss").alias("status"),
-        (value.isNull() & F.lit(item.on_missing != "zero")).alias("missing"), value.alias("value"),
-    ).cast(ITEM)
+    status = F.when(value.isNull(), "unknown").when(s > 0, "hit").otherwise("miss")
+    return Part(item.metric, "numeric", item.weight, s, status, value.isNull() & F.lit(item.on_missing != "zero"), value)
 
 
-def items(features: list[Feature], numerics: list[Numeric]) -> Column:
+def parts(features: list[Feature], numerics: list[Numeric]) -> list[Part]:
     """All items, features by key, then metrics by name: the order in which points are added."""
-    made = [*map(_feature, sorted(features, key=lambda f: f.key)), *map(_numeric, sorted(numerics, key=lambda n: n.metric))]
+    return [*map(_feature, sorted(features, key=lambda f: f.key)), *map(_numeric, sorted(numerics, key=lambda n: n.metric))]
+
+
+def items(features: list[Feature], numerics: list[Numeric]) -> Column:
+    made = [p.struct for p in parts(features, numerics)]
     return F.array(*made) if made else F.array().cast(f"array<{ITEM}>")
 
 
-def score(found: Column) -> Column:
+def score(found: list[Part]) -> Column:
     """100 x points / weights of the items that aren't missing, 0 without any; rounded once."""
-    present = F.filter(found, lambda x: ~x["missing"])
-    points = F.aggregate(present, F.lit(0.0), lambda a, x: a + x["weight"] * x["s"])
-    weights = F.aggregate(present, F.lit(0.0), lambda a, x: a + x["weight"])
+    present = lambda x: sum((F.when(p.missing, 0.0).otherwise(x(p)) for p in found), F.lit(0.0))
+    points, weights = present(lambda p: F.lit(float(p.weight)) * p.s), present(lambda p: F.lit(float(p.weight)))
     return F.round(F.when(weights == 0, 0.0).otherwise(points * 100.0 / F.nullif(weights, F.lit(0.0))), 3)
 
 
-def unknown_count(found: Column) -> Column:
-    return F.size(F.filter(found, lambda x: x["status"] == "unknown"))
+def unknown_count(found: list[Part]) -> Column:
+    return sum((F.when(p.status == "unknown", 1).otherwise(0) for p in found), F.lit(0))
 
 
 def top_hits(found: Column, most: int = 3) -> Column:
@@ -91,22 +106,38 @@ def top_hits(found: Column, most: int = 3) -> Column:
 
 
 def scored(views: DataFrame, features: list[Feature], numerics: list[Numeric]) -> DataFrame:
-    """views and score_items, score, unknown_items."""
-    made = views.withColumn("score_items", items(features, numerics))
-    return made.withColumn("score", score(F.col("score_items"))).withColumn("unknown_items", unknown_count(F.col("score_items")))
+    """views and score_items, score, unknown_items; each from plain columns, so that unused ones cost nothing."""
+    found = parts(features, numerics)
+    return views.select("*", items(features, numerics).alias("score_items"), score(found).alias("score"), unknown_count(found).alias("unknown_items"))
+
+
+def top(scores: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows by score, then listing_id, with their rank: no row beyond them is ranked."""
+    first = scores.orderBy(F.desc("score"), "listing_id").limit(most)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "listing_id")).cast("long"))
 
 
 def ranked(scores: DataFrame, pattern: list[str], eligible: Column) -> DataFrame:
     """rank (long) by score, then listing_id, among eligible rows of a pattern; null for the others.
 
-    Scores take few distinct values, so ranks are built from counts per score: only rows of one
-    score are sorted together, never a whole pattern.
+    Scores are stored once. Their keys are sorted by ranges, and a rank is a place within a range plus
+    the sizes of the ranges before it, so no score and no pattern is ever sorted by one task.
     """
-    key = [*pattern, "score"]
-    counts = scores.where(eligible).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*pattern).orderBy(F.desc("score")) if pattern else Window.orderBy(F.desc("score"))
-    counts = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*key, "_eligible").orderBy("listing_id")
-    marked = scores.withColumn("_eligible", F.coalesce(eligible, F.lit(False))).withColumn("_within", F.row_number().over(within))
-    rank = F.when(F.col("_eligible"), F.col("_above") + F.col("_within")).cast("long")
-    return marked.join(counts, key, "left").withColumn("rank", rank).drop("_eligible", "_within", "_above")
+    stored = written(scores.withColumn("_eligible", F.coalesce(eligible, F.lit(False))))
+    keys = [*pattern, "score", "listing_id"]
+    order = [*(F.col(k) for k in pattern), F.desc("score"), F.col("listing_id")]
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored.where("_eligible").select(*keys).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()))  # range * 2^33 + place within it
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    index = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*keys, (F.col("_before") + place).alias("_index"))
+    if pattern:
+        starts = index.groupBy(*pattern).agg(F.min("_index").alias("_start"))  # a row for each pattern
+        index = index.join(F.broadcast(starts), pattern)
+    else:
+        index = index.withColumn("_start", F.lit(0))
+    ranks = index.select(*pattern, "listing_id", (F.col("_index") - F.col("_start") + 1).alias("_rank"))
+    joined = stored.join(ranks, [*pattern, "listing_id"], "left")
+    return joined.select(*scores.columns, F.when(F.col("_eligible"), F.col("_rank")).cast("long").alias("rank"))

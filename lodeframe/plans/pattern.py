@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.operators import must, want
+from lodeframe.operators import grouping, must, want
 
 FAMILY = {
     "CHINTAI": "CHINTAI", "SHINCHIKU_MANSION": "MANSION_BUY", "CHUKO_MANSION": "MANSION_BUY",
@@ -107,8 +107,21 @@ def select(patterns: list[Pattern], names: list[str] | None = None, families: se
     return [p for p in patterns if (not names or p.name in names) and (not families or p.family in families)]
 
 
-def scored(views: DataFrame, pattern: Pattern, representative: str = "is_representative") -> DataFrame:
-    """Requirements, score and rank of a pattern's family in one plan: fails and non-representatives get no rank."""
+def judged(views: DataFrame, pattern: Pattern) -> DataFrame:
+    """Requirements and score of a pattern's family."""
     rows = must.evaluated(views.where(F.col("property_family") == pattern.family), pattern.must)
-    rows = want.scored(rows, list(pattern.features), list(pattern.numerics)).withColumn("pattern", F.lit(pattern.name)).withColumn("config_hash", F.lit(pattern.config_hash))
-    return want.ranked(rows, ["pattern"], (F.col("must") != must.FAIL) & F.col(representative))
+    return want.scored(rows, list(pattern.features), list(pattern.numerics)).select("*", F.lit(pattern.name).alias("pattern"), F.lit(pattern.config_hash).alias("config_hash"))
+
+
+def scored(views: DataFrame, pattern: Pattern, representative: str = "is_representative") -> DataFrame:
+    """Requirements, score and rank of a pattern's family: fails and non-representatives get no rank."""
+    return want.ranked(judged(views, pattern), ["pattern"], (F.col("must") != must.FAIL) & F.col(representative))
+
+
+def best(offers: DataFrame, pattern: Pattern, most: int) -> DataFrame:
+    """The first `most` of a pattern's ranking.
+
+    The family (a part of every key) is filtered before groups are made, and only representatives are judged.
+    """
+    chosen = grouping.representative_rows(offers.where(F.col("property_family") == pattern.family))
+    return want.top(judged(chosen, pattern).where(F.col("must") != must.FAIL), most)

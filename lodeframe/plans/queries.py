@@ -121,7 +121,7 @@ def score(spark, sf_dir):
     SELECT s.listing_id, s.score, s.must, r.rank FROM scores s LEFT JOIN ranks r USING (listing_id)"""
 )
 def rank_pattern(spark, sf_dir):
-    rows = want.scored(must.evaluated(_views(spark, sf_dir), WANTED), FEATURES, NUMERICS)
+    rows = want.scored(must.evaluated(_views(spark, sf_dir), WANTED), FEATURES, NUMERICS).select("listing_id", "score", "must", "is_representative")
     return want.ranked(rows, [], (F.col("must") != must.FAIL) & F.col("is_representative")).select("listing_id", "score", "must", "rank")
 
 
@@ -133,8 +133,7 @@ def rank_pattern(spark, sf_dir):
 def representative_ranking(spark, sf_dir):
     """Flagship: the cheapest of every group of equal offers, judged, scored and ranked by a declared pattern; the top 15."""
     pattern = patterns.Pattern("rent", "CHINTAI", WANTED, tuple(FEATURES), tuple(NUMERICS))
-    rows = patterns.scored(_views(spark, sf_dir), pattern)
-    return rows.where("rank is not null").orderBy("rank").limit(15).select("listing_id", "site_id", "score", "must", "rank", "member_count")
+    return patterns.best(listings(spark, sf_dir), pattern, 15).select("listing_id", "site_id", "score", "must", "rank", "member_count")
 
 
 @query(
@@ -143,7 +142,8 @@ def representative_ranking(spark, sf_dir):
     SELECT listing_id, rank, score FROM ranks r WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = r.order_id AND o.o_orderpriority = '1-URGENT') ORDER BY rank LIMIT 30"""
 )
 def digest_topn(spark, sf_dir):
-    rows = want.ranked(want.scored(must.evaluated(listings(spark, sf_dir), WANTED), FEATURES, NUMERICS), [], F.col("must") != must.FAIL).where("rank is not null")
+    rows = want.scored(must.evaluated(listings(spark, sf_dir), WANTED), FEATURES, NUMERICS).where(F.col("must") != must.FAIL).select("listing_id", "order_id", "score")
+    rows = want.ranked(rows, [], F.lit(True))
     excluded = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("order_id"))
     return pages.digest(rows, 30, excluded, "order_id").select("listing_id", "rank", "score")
 
@@ -180,8 +180,7 @@ def detail_queue(spark, sf_dir):
 )
 def check_targets(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("listing_id"))
-    ranked = want.ranked(rows, [], F.lit(True)).select("o_orderkey", "seen", "rank")
-    return pages.check_targets(ranked, 30, 25, "o_orderkey", "seen")
+    return pages.check_targets(want.ranked(rows, [], F.lit(True)), 30, 25, "o_orderkey", "seen")
 
 
 RATES_SQL = """rates AS (
@@ -649,7 +648,7 @@ def city_resolution(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     people = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     texts = people.select("c_custkey", "r_name", F.concat_ws(" ", "n_name", "c_name").alias("address"))
-    return enrich.longest_contained(texts, F.broadcast(nations.select("r_name", "n_name")), "r_name", "address", "n_name").select("c_custkey", "n_name")
+    return enrich.longest_contained(texts, nations.select("r_name", "n_name"), "r_name", "address", "n_name").select("c_custkey", "n_name")
 
 
 @query(MUST_SQL + " SELECT site_id, count(*) AS rows, count(*) FILTER (WHERE must = 'pass') AS passing, count(*) FILTER (WHERE must = 'unknown') AS unknown FROM judged GROUP BY 1")
