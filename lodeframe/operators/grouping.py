@@ -70,10 +70,10 @@ def representatives(listings: DataFrame) -> DataFrame:
     return best.select("dedup_key", F.col("b.id").alias("representative_id"), F.col("b.cost").alias("representative_cost"))
 
 
-def representative_rows(listings: DataFrame) -> DataFrame:
-    """Only the representatives, with member_count: their columns travel with the aggregate, so offers are read once and joined with nothing."""
+def representative_rows(listings: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of the representatives, and member_count: they travel with the aggregate, so offers are read once and joined with nothing."""
     stands = (F.col("status") == "active") | F.col("dedup_key").isNull()
-    whole = F.struct(*listings.columns).alias("row")
+    whole = F.struct(*columns).alias("row")
     groups = _grouped(listings).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("member_count"), F.min(F.when(stands, _order(whole))).alias("b"))
     return groups.where("b is not null").select("b.row.*", "member_count")
 

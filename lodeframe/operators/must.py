@@ -70,7 +70,7 @@ def _result(spec: Requirement, wanted: Any) -> Column:
         unwanted = F.col(spec.metric)
         return F.when(unwanted.isNull(), UNKNOWN).when(unwanted, FAIL).otherwise(PASS)
     if spec.direction == "set":
-        plain = text.layout(F.col("layout"))
+        plain = F.col("_layout")
         allowed = [text.layout(F.lit(x)) for x in wanted]
         return F.when(plain.isNull() | plain.rlike("[~～〜]"), UNKNOWN).when(F.array_contains(F.array(*allowed), plain), PASS).otherwise(FAIL)
     missing = F.array_except(F.array(*map(F.lit, sorted(set(wanted)))), F.coalesce("feature_codes", F.array().cast("array<string>")))
@@ -88,17 +88,6 @@ def results(wanted: dict[str, Any], list_stage: bool = False) -> dict[str, Colum
     }
 
 
-def checks(wanted: dict[str, Any], list_stage: bool = False) -> Column:
-    """array of struct(name, result)."""
-    made = [F.struct(F.lit(name).alias("name"), r.alias("result")) for name, r in results(wanted, list_stage).items()]
-    return F.array(*made) if made else F.array().cast("array<struct<name:string,result:string>>")
-
-
-def worst(found: dict[str, Column]) -> Column:
-    has = lambda r: reduce(Column.__or__, (x == r for x in found.values()), F.lit(False))
-    return F.when(has(FAIL), FAIL).when(has(UNKNOWN), UNKNOWN).otherwise(PASS)
-
-
 def passes(overall: Column, unknown_policy: str) -> Column:
     return (overall == PASS) | ((overall == UNKNOWN) & F.lit(unknown_policy == "keep"))
 
@@ -108,6 +97,16 @@ def names(found: Column, result: str) -> Column:
 
 
 def evaluated(views: DataFrame, wanted: dict[str, Any], list_stage: bool = False) -> DataFrame:
-    """views and must_checks, must (the worst result), must_passes (by unknown_policy, keep by default)."""
-    overall = worst(results(wanted, list_stage))
-    return views.select("*", checks(wanted, list_stage).alias("must_checks"), overall.alias("must"), passes(overall, wanted.get("unknown_policy", "keep")).alias("must_passes"))
+    """views and must_checks (array of name and result), must (the worst result), must_passes (by unknown_policy, keep by default).
+
+    Layouts and results are columns of their own, so that each is computed once however often it is used.
+    """
+    made = results(wanted, list_stage)
+    rows = views.withColumn("_layout", text.layout(F.col("layout"))) if "layouts" in made else views
+    rows = rows.select(*views.columns, *(r.alias(f"_must_{name}") for name, r in made.items()))
+    at = {name: F.col(f"_must_{name}") for name in made}
+    found = [F.struct(F.lit(name).alias("name"), c.alias("result")) for name, c in at.items()]
+    has = lambda r: reduce(Column.__or__, (c == r for c in at.values()), F.lit(False))
+    overall = F.when(has(FAIL), FAIL).when(has(UNKNOWN), UNKNOWN).otherwise(PASS)
+    judged = rows.select(*views.columns, (F.array(*found) if found else F.array().cast("array<struct<name:string,result:string>>")).alias("must_checks"), overall.alias("must"))
+    return judged.withColumn("must_passes", passes(F.col("must"), wanted.get("unknown_policy", "keep")))

@@ -49,6 +49,12 @@ class Pattern:
         body |= {k: v for k, v in (("commute", self.commute), ("utility", self.utility)) if v}
         return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
+    @property
+    def columns(self) -> list[str]:
+        """What judging a row reads, besides its identity."""
+        metrics = {r.metric for name, r in must.REQUIREMENTS.items() if must.imposed(self.must.get(name)) and r.metric} | {n.metric for n in self.numerics}
+        return [*sorted(metrics | {"layout", "feature_codes", "detail_fetched"})]
+
     def condition_codes(self) -> set[str]:
         return {c for f in self.features for c in f.codes} | set(self.must.get("features") or ())
 
@@ -123,5 +129,5 @@ def best(offers: DataFrame, pattern: Pattern, most: int) -> DataFrame:
 
     The family (a part of every key) is filtered before groups are made, and only representatives are judged.
     """
-    chosen = grouping.representative_rows(offers.where(F.col("property_family") == pattern.family))
+    chosen = grouping.representative_rows(offers.where(F.col("property_family") == pattern.family), ["listing_id", "site_id", "property_family", *pattern.columns])
     return want.top(judged(chosen, pattern).where(F.col("must") != must.FAIL), most)
