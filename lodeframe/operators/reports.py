@@ -110,3 +110,45 @@ def notifications(changes: DataFrame, sent: DataFrame, unit: str, kind: str, ran
     if most is not None:
         rows = rows.where(F.col(rank).isNull() | (F.col(rank) <= most))
     return rows.orderBy(F.col(rank).asc_nulls_last(), unit)
+
+
+def price_field(monthly_note: Column, land_note: Column) -> tuple[Column, Column]:
+    """(heading, body) of an offer's price: homes to buy and land by price, homes to let by what is paid each month."""
+    family = F.col("property_family")
+    rent = F.concat(yen_text(F.col("rent_total")), F.lit("\n（賃料 "), yen_text(F.col("price")), F.lit(" + 管理費 "), yen_text(F.col("mgmt_fee_monthly")), F.lit("）"))
+    heading = F.when(family == "CHINTAI", "月額").otherwise("価格")
+    body = F.when(family == "TOCHI_BUY", F.concat(man_yen(F.col("price")), land_note)).when(family == "CHINTAI", rent).otherwise(F.concat(man_yen(F.col("price")), monthly_note))
+    return heading, body
+
+
+def number_text(value: Column) -> Column:
+    """Whole numbers without decimals, others with two at most, trailing zeros dropped."""
+    fine = F.rtrim(F.format_number(value, 2), F.lit("0"))
+    return F.when(value == F.floor(value), F.format_number(value, 0)).otherwise(fine)
+
+
+def must_text(value: Column, unit: str = "") -> Column:
+    """A required or found value with its unit; unknown is said so."""
+    return F.coalesce(F.concat(number_text(value.cast("double")), F.lit(unit)), F.lit("不明"))
+
+
+def choice_text(values: Column) -> Column:
+    return F.when(values.isNull(), "不明").when(F.size(values) == 0, "なし").otherwise(F.array_join(F.array_sort(values), "、"))
+
+
+def attribute_rows(attributes: Column) -> Column:
+    """Attributes as an array of (name, text) by name; true and false in words, null as a dash."""
+    said = lambda v: F.when(v.isNull(), "—").when(v == "true", "はい").when(v == "false", "いいえ").otherwise(v)
+    return F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.struct(e["key"].alias("name"), said(e["value"]).alias("text")))
+
+
+def local_time(at: Column, zone: str = "Asia/Tokyo") -> Column:
+    """A UTC time as shown to the user."""
+    return F.coalesce(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), at), "yyyy-MM-dd HH:mm"), F.lit("—"))
+
+
+def excluded_in_digest(ranked: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """How many excluded offers the digest's places would have shown. marks: listing_id, is_excluded."""
+    first = ranked.where("rank is not null").join(marks, "listing_id", "left").select("rank", F.coalesce("is_excluded", F.lit(False)).alias("_x"))
+    edge = first.where("not _x").orderBy("rank").limit(most).agg(F.max("rank").alias("_edge")).withColumn("_k", F.lit(1))
+    return first.where("_x").withColumn("_k", F.lit(1)).join(edge, "_k").agg(F.count_if(F.col("rank") <= F.col("_edge")).alias("n"))

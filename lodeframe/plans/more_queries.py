@@ -133,10 +133,10 @@ def site_facet(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT c_custkey, c_name AS a, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS b FROM customer) SELECT c_custkey, coalesce(b, a) AS label FROM r""",
+    """WITH r AS (SELECT c_custkey, c_name AS a, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS b FROM customer) SELECT c_custkey, coalesce(b, a) AS label FROM r""",
     offers=False,
 )
 def detail_merge(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("label"))
-    details = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_mktsegment").alias("label"))
+    details = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("label"))
     return snapshot.filled(customers, details, "c_custkey", ["label"])

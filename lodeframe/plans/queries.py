@@ -214,17 +214,17 @@ def market_ratio(spark, sf_dir):
 
 
 @query(
-    """WITH fine AS (SELECT p_brand || '|' || p_size AS k, max(p_retailprice) AS top, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1),
-    coarse AS (SELECT p_brand AS k, max(p_retailprice) AS top, count(*) AS n FROM part WHERE p_size % 2 = 0 AND p_brand <> 'Brand#1' GROUP BY 1)
+    """WITH fine AS (SELECT p_brand || '|' || p_size AS k, max(p_retailprice) FILTER (WHERE p_retailprice > 1200) AS top, count(*) FILTER (WHERE p_retailprice > 1200) AS n FROM part GROUP BY 1 HAVING n > 0),
+    coarse AS (SELECT p_brand AS k, max(p_retailprice) FILTER (WHERE p_retailprice > 1200) AS top, count(*) FILTER (WHERE p_retailprice > 1200) AS n FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1 HAVING n > 0)
     SELECT p_partkey, coalesce(f.top, c.top) AS top, CASE WHEN f.k IS NOT NULL THEN f.n ELSE c.n END AS n, CASE WHEN f.k IS NOT NULL THEN 'fine' WHEN c.k IS NOT NULL THEN 'coarse' END AS level_used
     FROM part LEFT JOIN fine f ON f.k = p_brand || '|' || p_size LEFT JOIN coarse c ON c.k = p_brand""",
     offers=False,
 )
 def fallback_key(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("fine", F.concat_ws("|", "p_brand", F.col("p_size").cast("string"))).withColumn("coarse", F.col("p_brand"))
-    even = parts.where("p_size % 2 = 0")
-    values = lambda k, rows: rows.groupBy(F.col(k).alias("k")).agg(F.max("p_retailprice").alias("top"), F.count(F.lit(1)).alias("n"))
-    levels = values("fine", even).unionByName(values("coarse", even.where("p_brand <> 'Brand#1'")))
+    dear = F.when(F.col("p_retailprice") > 1200, F.col("p_retailprice"))
+    values = lambda k, rows: rows.groupBy(F.col(k).alias("k")).agg(F.max(dear).alias("top"), F.count(dear).alias("n")).where("n > 0")
+    levels = values("fine", parts).unionByName(values("coarse", parts.where("p_brand <> 'Brand#1'")))
     return enrich.with_fallback(parts.select("p_partkey", "fine", "coarse"), levels, "fine", "coarse", "k", ["top", "n"]).select("p_partkey", "top", "n", "level_used")
 
 
@@ -296,14 +296,15 @@ def median_fallback(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT l_partkey % 500 AS cell, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 = 0 GROUP BY 1), b AS (SELECT l_partkey % 500 AS cell, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 = 1 GROUP BY 1)
+    """WITH l AS (SELECT l_partkey * 8 + l_linenumber AS cell, l_returnflag = 'A' AS first, l_quantity FROM lineitem), a AS (SELECT cell, max(l_quantity) AS v FROM l WHERE first GROUP BY 1), b AS (SELECT cell, max(l_quantity) AS v FROM l WHERE NOT first GROUP BY 1)
     SELECT cell, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'mansion' ELSE 'apart' END AS basis FROM a FULL JOIN b USING (cell)""",
     offers=False,
 )
 def merge_cells(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("cell", F.col("l_partkey") % 500)
-    side = lambda flag, k: lines.where((F.col("l_returnflag") == flag) & (F.col("l_suppkey") % 3 == k)).groupBy("cell").agg(F.max("l_quantity").alias("v"))
-    return enrich.preferred(side("A", 0), side("R", 1), ["cell"], "v", ("mansion", "apart"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("cell", F.col("l_partkey") * 8 + F.col("l_linenumber"))
+    side = lambda on: lines.where(on).groupBy("cell").agg(F.max("l_quantity").alias("v"))
+    first = F.col("l_returnflag") == "A"
+    return enrich.preferred(side(first), side(~first), ["cell"], "v", ("mansion", "apart"))
 
 
 @query(
@@ -574,9 +575,9 @@ def bands(spark, sf_dir):
     return snapshot.banded(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), band, ["o_custkey"])
 
 
-@query("SELECT n_name FROM (SELECT n_name, n_name <= 'JAPAN' AS passed FROM nation) ORDER BY passed, n_name LIMIT 15", offers=False)
+@query("SELECT c_name FROM (SELECT c_name, c_name <= 'Customer#000000200' AS passed FROM customer) ORDER BY passed, c_name LIMIT 15", offers=False)
 def rotation(spark, sf_dir):
-    return pages.rotated(table(spark, sf_dir, "nation").select("n_name"), "n_name", "JAPAN", 15)
+    return pages.rotated(table(spark, sf_dir, "customer").select("c_name"), "c_name", "Customer#000000200", 15)
 
 
 @query(

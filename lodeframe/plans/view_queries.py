@@ -1 +1,461 @@
-"""Registered queries of composed views, resolution and upkeep, and their DuckDB twins."""
+"""Registered queries of composed views, resolution, stored scores and upkeep, and their DuckDB twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.operators import features, grouping, marks, pages, reports, snapshot, stations, stats, upkeep, views, want
+from lodeframe.plans import pattern as patterns
+from lodeframe.plans.frames import listing_id, listings, table
+from lodeframe.plans.queries import FEATURES, MUST_SQL, NUMERICS, SCORE_SQL, WANTED, query
+from lodeframe.plans.text_queries import spelt
+
+VIEW_SQL = """, gk AS (SELECT *, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk, unit_id % 50 AS city_id FROM listings),
+near AS (SELECT listing_id, gk, site_id % 50 AS st, CASE WHEN unit_id % 6 <> 0 THEN unit_id % 15 + 1 END AS walk FROM gk),
+com AS (SELECT s_suppkey % 50 AS st, min(s_nationkey) + 10 AS ride FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
+pairs AS (SELECT near.*, ride FROM near LEFT JOIN com USING (st)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY walk + ride, walk, st) AS n FROM pairs WHERE walk IS NOT NULL AND ride IS NOT NULL) WHERE n = 1),
+mins AS (SELECT gk, min(walk) AS w, min(ride) AS r FROM pairs GROUP BY 1),
+access AS (SELECT mins.gk, CASE WHEN best.gk IS NULL THEN w ELSE walk END AS walk_minutes, CASE WHEN best.gk IS NULL THEN r ELSE ride END AS commute_minutes FROM mins LEFT JOIN best ON best.gk = mins.gk),
+haz AS (SELECT 'A' || (p_size % 20) || '-1丁目' AS key, 'chome' AS level, CAST(count(*) AS DOUBLE) AS flood FROM part WHERE p_size % 3 = 0 GROUP BY 1 UNION ALL SELECT 'A' || (p_size % 20), 'town', -CAST(count(*) AS DOUBLE) FROM part WHERE p_size % 4 <> 0 GROUP BY 1),
+keys AS (SELECT gk, listing_id, address_normalized AS key FROM gk UNION SELECT gk, listing_id, split_part(address_normalized, '-', 1) FROM gk),
+hz AS (SELECT gk, flood FROM (SELECT gk, flood, row_number() OVER (PARTITION BY gk ORDER BY level <> 'chome', listing_id, flood) AS n FROM keys JOIN haz USING (key)) WHERE n = 1),
+seg AS (SELECT *, CASE property_family WHEN 'CHINTAI' THEN layout WHEN 'MANSION_BUY' THEN 'AREA_SQM' WHEN 'KODATE_BUY' THEN 'FLOOR_SQM' END AS segment FROM gk),
+rates AS (SELECT property_family, city_id, segment, period, CAST(max(price) AS DOUBLE) AS rate_value FROM seg WHERE price IS NOT NULL AND segment IS NOT NULL GROUP BY ALL),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY property_family, city_id, segment ORDER BY period DESC) AS n FROM rates) WHERE n = 1),
+fetched AS (SELECT gk, bool_or(detail_fetched) AS detail_fetched FROM gk GROUP BY 1),
+view AS (SELECT seg.listing_id, seg.site_id, property_family, a.walk_minutes, a.commute_minutes, hz.flood, f.detail_fetched, r.rate_value, r.period AS rate_period, 'C' || city_id AS city_name,
+    CASE property_family WHEN 'CHINTAI' THEN CAST(rent_total AS DOUBLE) WHEN 'MANSION_BUY' THEN price / nullif(area_sqm, 0) WHEN 'KODATE_BUY' THEN price / nullif(building_area_sqm, 0) END / r.rate_value AS ratio,
+    seg.price, seg.rent_total, seg.area_sqm, seg.building_area_sqm, seg.layout
+    FROM seg JOIN fetched f USING (gk) LEFT JOIN access a USING (gk) LEFT JOIN hz USING (gk) LEFT JOIN newest r USING (property_family, city_id, segment))"""
+
+
+def _view(spark: SparkSession, sf_dir: str, asked=None) -> DataFrame:
+    offers = listings(spark, sf_dir).withColumn("city_id", F.col("unit_id") % 50)
+    near = offers.select("listing_id", (F.col("site_id") % 50).alias("station_g_cd"), F.when(F.col("unit_id") % 6 != 0, F.col("unit_id") % 15 + 1).alias("walk"))
+    commutes = table(spark, sf_dir, "supplier").where("s_acctbal > 0").groupBy((F.col("s_suppkey") % 50).alias("station_g_cd")).agg((F.min("s_nationkey") + 10).alias("ride"))
+    parts = table(spark, sf_dir, "part")
+    cells = lambda rows, end, level, sign: rows.groupBy(spelt("A", F.col("p_size") % 20, end).alias("key")).agg((F.count(F.lit(1)) * sign).cast("double").alias("flood")).select("key", F.lit(level).alias("level"), "flood")
+    hazards = cells(parts.where("p_size % 3 = 0"), "-1丁目", "chome", 1).unionByName(cells(parts.where("p_size % 4 <> 0"), "", "town", -1))
+    towns = offers.where("address_normalized is not null").select(F.col("address_normalized").alias("normalized_key"), F.substring_index("address_normalized", "-", 1).alias("town_key")).distinct()
+    rates = offers.withColumn("segment", views.by_family(0)).where("price is not null and segment is not null").groupBy("property_family", "city_id", "segment", "period").agg(F.max("price").cast("double").alias("rate_value"))
+    cities = offers.select("city_id", spelt("C", F.col("city_id")).alias("city_name")).distinct()
+    return views.scoring_view(offers, near, commutes, hazards, towns, rates, cities, asked).withColumnRenamed("period", "first_period")
+
+
+@query(VIEW_SQL + " SELECT listing_id, walk_minutes, commute_minutes, flood, detail_fetched, rate_value, city_name, round(ratio, 6) AS ratio FROM view")
+def scoring_view(spark, sf_dir):
+    return _view(spark, sf_dir).select("listing_id", "walk_minutes", "commute_minutes", "flood", "detail_fetched", "rate_value", "city_name", F.round("market_rate_ratio", 6).alias("ratio"))
+
+
+@query(VIEW_SQL + " SELECT listing_id, walk_minutes, commute_minutes, flood, round(ratio, 6) AS ratio FROM view WHERE site_id IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey <= 3) AND city_name = 'C7'")
+def scoring_view_of_site(spark, sf_dir):
+    asked = (F.col("site_id") <= 3) & (F.col("city_id") == 7)
+    return _view(spark, sf_dir, asked).select("listing_id", "walk_minutes", "commute_minutes", "flood", F.round("market_rate_ratio", 6).alias("ratio"))
+
+
+@query(
+    VIEW_SQL
+    + """ SELECT listing_id, coalesce(ratio < CASE WHEN property_family IN ('MANSION_BUY', 'KODATE_BUY') THEN 0.10 ELSE 0.20 END, false) AS odd,
+    concat_ws(' / ', 'S' || site_id || ' id=' || listing_id, CASE WHEN property_family IN ('MANSION_BUY', 'KODATE_BUY') THEN '価格' || format('{:,}', price) || '円' ELSE '月額' || format('{:,}', rent_total) || '円' END,
+    CASE WHEN property_family = 'KODATE_BUY' THEN '延床' || format('{:,.1f}', building_area_sqm) || '㎡' ELSE format('{:,.1f}', area_sqm) || '㎡' END, layout) AS line FROM view"""
+)
+def price_anomalies(spark, sf_dir):
+    rows = _view(spark, sf_dir)
+    return rows.select("listing_id", views.out_of_line().alias("odd"), F.regexp_replace(views.anomaly_text(spelt("S", F.col("site_id"))), " / 相場比.*$", "").alias("line"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, n_nationkey, n_name, r_name, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE r_name END || n_name || c_custkey AS a FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    n AS (SELECT n_nationkey AS id, n_name AS name, r_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN r_name ELSE (SELECT n.p FROM n WHERE n.p IN ('ASIA', 'EUROPE') AND contains(a, n.name) ORDER BY length(n.name) DESC, n.name LIMIT 1) END AS prefecture,
+        CASE WHEN c_custkey % 4 <> 0 THEN (SELECT n.id FROM n WHERE n.p = r_name AND contains(a, n.name) ORDER BY length(n.name) DESC, n.name LIMIT 1) ELSE (SELECT n.id FROM n WHERE n.p IN ('ASIA', 'EUROPE') AND contains(a, n.name) ORDER BY length(n.name) DESC, n.name LIMIT 1) END AS city_id FROM c""",
+    offers=False,
+)
+def city_of_address(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("prefecture"))
+    cities = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("prefecture", F.col("n_name").alias("name"), F.col("n_nationkey").alias("city_id"))
+    people = table(spark, sf_dir, "customer").join(cities, F.col("c_nationkey") == F.col("city_id"))
+    texts = people.select("c_custkey", spelt(F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("prefecture")), F.col("name"), F.col("c_custkey")).alias("a"))
+    return views.resolved_city(texts, cities, "a", ["ASIA", "EUROPE"]).select("c_custkey", "prefecture", "city_id")
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS id, n_name AS name FROM nation), a AS (SELECT c_custkey, name, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN id ELSE (id + 1) % 25 END AS code, id FROM customer JOIN n ON c_nationkey = id)
+    SELECT c_custkey AS slug, CASE WHEN c_custkey % 3 <> 2 THEN id END AS city_id, CASE c_custkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'code' ELSE 'conflict' END AS how FROM a""",
+    offers=False,
+)
+def city_slugs(spark, sf_dir):
+    cities = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("jis_code"))
+    key, own = F.col("c_custkey"), F.col("city_id")
+    code = F.when(key % 3 == 1, own).when(key % 3 == 2, (own + 1) % 25)
+    areas = table(spark, sf_dir, "customer").join(cities.drop("jis_code"), F.col("c_nationkey") == own).select(key.alias("slug"), "name", code.cast("string").alias("jis_code"))
+    return views.matched_cities(areas, cities).withColumn("city_id", F.when(F.col("how") != "conflict", F.col("city_id")))
+
+
+def _places(spark: SparkSession, sf_dir: str, names: int = 40) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station_g_cd"), spelt("S", F.col("s_suppkey") % names).alias("station_name"), (F.col("s_suppkey") % 3).alias("prefecture"), (F.col("s_nationkey") % 7).alias("line_cd"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS g, s_suppkey % 40 AS k, s_suppkey % 3 AS p FROM supplier), o AS (SELECT k, p, count(DISTINCT g) AS n, min(g) AS g FROM s GROUP BY 1, 2), w AS (SELECT k, count(DISTINCT g) AS n, min(g) AS g FROM s GROUP BY 1)
+    SELECT c_custkey, CASE WHEN o.n = 1 THEN o.g WHEN o.n IS NULL AND w.n = 1 THEN w.g END AS station_g_cd, CASE WHEN coalesce(o.n, w.n) = 1 THEN 'matched' WHEN coalesce(o.n, w.n) > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status
+    FROM customer LEFT JOIN o ON o.k = c_custkey % 60 AND o.p = c_custkey % 5 LEFT JOIN w ON w.k = c_custkey % 60""",
+    offers=False,
+)
+def station_lookup(spark, sf_dir):
+    key = F.col("c_custkey")
+    names = table(spark, sf_dir, "customer").select(key, (key % 5).alias("prefecture"), spelt("S", key % 60, F.when(key % 2 == 0, "〔本線〕").otherwise("駅")).alias("name"))
+    return upkeep.looked_up(names, _places(spark, sf_dir), ["c_custkey"])
+
+
+SEGMENTS_SQL = """WITH s AS (SELECT s_suppkey % 70 AS k, min(s_suppkey) AS g FROM supplier GROUP BY 1 HAVING count(*) = 1),
+l AS (SELECT l_partkey % 90 AS a, l_suppkey % 90 AS b, l_linestatus AS line, CAST(l_quantity AS INTEGER) AS m FROM lineitem), j AS (SELECT l.*, x.g AS from_g, y.g AS to_g FROM l LEFT JOIN s x ON x.k = a LEFT JOIN s y ON y.k = b)"""
+
+
+def _harvest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    places = _places(spark, sf_dir, 70)
+    once = places.groupBy("station_name").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("station_name")
+    legs = table(spark, sf_dir, "lineitem").select(spelt("S", F.col("l_partkey") % 90).alias("from_name"), spelt("S", F.col("l_suppkey") % 90).alias("to_name"), F.col("l_linestatus").alias("line"), F.col("l_quantity").cast("int").alias("minutes"))
+    return upkeep.harvested(legs, places.join(once, "station_name"))
+
+
+@query(SEGMENTS_SQL + " SELECT from_g, to_g, line, min(m) AS minutes FROM j WHERE from_g <> to_g GROUP BY ALL", offers=False)
+def harvested_segments(spark, sf_dir):
+    return _harvest(spark, sf_dir)[0]
+
+
+@query(SEGMENTS_SQL + " SELECT count(*) AS legs, count(*) FILTER (WHERE from_g <> to_g) AS kept, count(*) FILTER (WHERE from_g IS NULL OR to_g IS NULL) AS dropped FROM j", offers=False)
+def harvest_counts(spark, sf_dir):
+    return _harvest(spark, sf_dir)[1]
+
+
+COMMUTES_SQL = """WITH asked AS (SELECT DISTINCT l_suppkey AS g FROM lineitem), est AS (SELECT s_suppkey AS g, CAST(floor(s_acctbal) AS BIGINT) AS m FROM supplier WHERE s_acctbal > 0),
+fresh AS (SELECT g, CASE WHEN m IS NULL THEN 'no_route' ELSE 'ok' END AS status, m, 'estimate' AS source FROM asked LEFT JOIN est USING (g)), stored AS (SELECT s_suppkey AS g, 'ok' AS status, s_nationkey AS m, 'measured' AS source FROM supplier WHERE s_nationkey < 8),
+saved AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh WHERE g NOT IN (SELECT g FROM stored))"""
+
+
+def _commutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("station_g_cd"))
+    places = table(spark, sf_dir, "supplier")
+    fresh = upkeep.commute_rows(asked, places.where("s_acctbal > 0").select(F.col("s_suppkey").alias("station_g_cd"), F.floor("s_acctbal").alias("minutes")))
+    stored = places.where("s_nationkey < 8").select(F.col("s_suppkey").alias("station_g_cd"), F.lit("ok").alias("status"), F.col("s_nationkey").cast("long").alias("minutes"), F.lit("measured").alias("source"))
+    return upkeep.saved_commutes(stored, fresh)
+
+
+@query(COMMUTES_SQL + " SELECT g AS station_g_cd, status, m AS minutes, source FROM saved", offers=False)
+def saved_commutes(spark, sf_dir):
+    return _commutes(spark, sf_dir)
+
+
+@query(COMMUTES_SQL + " SELECT status, source, count(*) AS n, min(m) AS least, round(avg(m), 2) AS mean, max(m) AS most FROM saved GROUP BY 1, 2", offers=False)
+def commute_summary(spark, sf_dir):
+    return upkeep.commute_summary(_commutes(spark, sf_dir))
+
+
+@query(
+    COMMUTES_SQL
+    + """, best AS (SELECT o_custkey AS g, min(CAST(floor(o_totalprice) AS BIGINT)) AS m FROM orders GROUP BY 1)
+    SELECT g AS station_g_cd, 'ok' AS status, m AS minutes, 'measured' AS source FROM best UNION ALL SELECT g, status, m, source FROM saved WHERE g NOT IN (SELECT g FROM best)""",
+    offers=False,
+)
+def restored_commutes(spark, sf_dir):
+    routes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("station_g_cd"), F.floor("o_totalprice").alias("minutes"), (F.col("o_orderkey") % 4).alias("transfers"))
+    return upkeep.restored_commutes(_commutes(spark, sf_dir), routes)
+
+
+@query(
+    """SELECT o_custkey AS origin, o_orderkey AS route, 'new' AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL
+    SELECT o_custkey, o_orderkey, 'old' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""",
+    offers=False,
+)
+def saved_routes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    side = lambda status, part: orders.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("origin"), F.col("o_orderkey").alias("route"), F.lit(part).alias("part"))
+    return upkeep.saved_routes(side("F", "old"), side("O", "new"))
+
+
+@query("SELECT l_suppkey AS station_g_cd, count(DISTINCT l_partkey % 9) AS lines FROM lineitem WHERE l_suppkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1", offers=False)
+def missing_origins(spark, sf_dir):
+    groups = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("station_g_cd")).agg(F.countDistinct(F.col("l_partkey") % 9).alias("lines"))
+    return upkeep.missing_origins(groups, table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("origin")))
+
+
+@query(
+    """WITH s AS (SELECT l_suppkey % 20 AS p, l_partkey AS g, count(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY 1, 2)
+    SELECT p AS prefecture, g AS station_g_cd, lines FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY lines DESC, g) AS n FROM s) WHERE n = 1""",
+    offers=False,
+)
+def busiest_stations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("prefecture"), F.col("l_partkey").alias("station_g_cd"), F.col("l_linenumber").alias("line_cd"))
+    return upkeep.busiest(rows, "prefecture")
+
+
+@query("SELECT l_partkey AS station_g_cd, string_agg(DISTINCT l_shipmode, ',' ORDER BY l_shipmode) AS names FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1", offers=False)
+def station_group_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("station_g_cd"), F.concat("l_returnflag", "l_linestatus").alias("station_name"))
+    return upkeep.names_of_groups(rows).select("station_g_cd", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT count(*) AS segments, count(*) FILTER (WHERE l_returnflag <> 'R') AS ridden, count(*) FILTER (WHERE l_returnflag = 'R') AS walked FROM lineitem", offers=False)
+def segment_counts(spark, sf_dir):
+    return upkeep.segment_stats(table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").alias("is_walk")))
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey AS site, l_orderkey AS o, CASE l_returnflag WHEN 'A' THEN 'matched' WHEN 'N' THEN 'ambiguous' ELSE 'unmatched' END AS s FROM lineitem), p AS (SELECT site, o, bool_or(s = 'matched') AS hit, count(*) FILTER (WHERE s = 'matched') AS a, count(*) FILTER (WHERE s = 'ambiguous') AS b, count(*) FILTER (WHERE s = 'unmatched') AS c FROM m GROUP BY 1, 2)
+    SELECT site, count(*) AS offers, count(*) FILTER (WHERE hit) AS resolved, CAST(sum(a) AS BIGINT) AS matched, CAST(sum(b) AS BIGINT) AS ambiguous, CAST(sum(c) AS BIGINT) AS unmatched FROM p GROUP BY 1""",
+    offers=False,
+)
+def station_statistics(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("listing_id"), F.when(flag == "A", "matched").when(flag == "N", "ambiguous").otherwise("unmatched").alias("status"))
+    return upkeep.resolve_stats(rows, "site")
+
+
+PATTERN = patterns.Pattern("rent", "CHINTAI", WANTED, tuple(FEATURES), tuple(NUMERICS))
+
+
+@query(
+    MUST_SQL + SCORE_SQL
+    + """ SELECT listing_id, score, must, '[{"code":"GAS_CITY|GAS_LPG","kind":"feature","points":' || p1 || ',' AS head FROM scores WHERE property_family = 'CHINTAI'"""
+)
+def saved_scores(spark, sf_dir):
+    made = views.saved_scores(patterns.judged(listings(spark, sf_dir), PATTERN))
+    return made.select("listing_id", "score", "must", F.concat(F.substring_index("breakdown", ",", 3), F.lit(",")).alias("head"))
+
+
+@query(
+    """ SELECT site_id AS pattern, count(*) AS n FROM listings WHERE site_id % 2 = 1 GROUP BY 1"""
+)
+def orphan_scores(spark, sf_dir):
+    scores = listings(spark, sf_dir).select(F.col("site_id").alias("pattern"))
+    even = [r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").where("s_suppkey % 2 = 0").collect()]  # definitions, not data
+    return views.orphan_scores(scores, even)
+
+
+@query(
+    """ SELECT count(*) AS offers, count(dedup_key) AS keyed, count(DISTINCT dedup_key) AS groups, count(*) FILTER (WHERE dedup_key IS DISTINCT FROM CASE WHEN unit_id % 4 <> 3 THEN dedup_key END) AS changed FROM listings"""
+)
+def regroup_totals(spark, sf_dir):
+    after = listings(spark, sf_dir)
+    before = after.select("listing_id", F.when(F.col("property_family") != "TOCHI_BUY", F.col("dedup_key")).alias("dedup_key"))
+    return views.regroup_totals(before, after)
+
+
+@query(
+    """, gk AS (SELECT listing_id, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk, CASE WHEN status = 'active' THEN unit_id END AS rank FROM listings), b AS (SELECT gk, min(rank) AS r FROM gk GROUP BY 1)
+    SELECT listing_id, r AS group_rank FROM gk JOIN b USING (gk)"""
+)
+def group_rank(spark, sf_dir):
+    rows = listings(spark, sf_dir).select("listing_id", grouping.group_or_self().alias("gk"), F.when(F.col("status") == "active", F.col("unit_id")).alias("rank"))
+    return views.group_ranks(rows)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN false WHEN 'purchase' THEN true ELSE true END AS stale FROM events""", offers=False)
+def stale_items(spark, sf_dir):
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(kind == "view", "a").when(kind == "purchase", "b").otherwise("gone").alias("pattern"), F.lit("h1").alias("config_hash"))
+    return views.ranking_items(rows, {"a": "h1", "b": "h2"}).select("event_id", "stale")
+
+
+@query(
+    """ SELECT listing_id, CASE WHEN property_family = 'CHINTAI' THEN '月額' ELSE '価格' END AS heading,
+    CASE WHEN property_family = 'CHINTAI' THEN coalesce(format('{:,}', rent_total) || '円', '—') || chr(10) || '（賃料 ' || coalesce(format('{:,}', price) || '円', '—') || ' + 管理費 ' || coalesce(format('{:,}', mgmt_fee_monthly) || '円', '—') || '）'
+    WHEN price IS NULL THEN '価格未定' || CASE WHEN property_family = 'TOCHI_BUY' THEN '!' ELSE '*' END ELSE format('{:,}', price // 10000) || CASE WHEN property_family = 'TOCHI_BUY' THEN '万円!' ELSE '万円*' END END AS body
+    FROM (SELECT * REPLACE (price // 10000 * 10000 AS price) FROM listings)"""
+)
+def price_fields(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("price", F.floor(F.col("price") / 10000) * 10000)
+    heading, body = reports.price_field(F.lit("*"), F.lit("!"))
+    return rows.select("listing_id", heading.alias("heading"), body.alias("body"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '不明' WHEN p_size % 2 = 0 THEN format('{:,}', p_size * 1000) || '円' ELSE rtrim(format('{:,.2f}', p_size * 1000 + 0.5), '0') || '円' END AS must, CASE WHEN p_size % 3 = 0 THEN 'なし' ELSE '1K、2K' END AS choice,
+    'a=はい,b=' || p_size || ',c=—' AS rows FROM part""",
+    offers=False,
+)
+def shown_values(spark, sf_dir):
+    n = F.col("p_size")
+    value = F.when(n % 5 == 0, None).when(n % 2 == 0, n * 1000.0).otherwise(n * 1000.0 + 0.5)
+    attributes = F.create_map(F.lit("c"), F.lit(None).cast("string"), F.lit("b"), n.cast("string"), F.lit("a"), F.lit("true"))
+    choices = F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("2K"), F.lit("1K")))
+    shown = F.array_join(F.transform(reports.attribute_rows(attributes), lambda x: F.concat(x["name"], F.lit("="), x["text"])), ",")
+    return table(spark, sf_dir, "part").select("p_partkey", reports.must_text(value, "円").alias("must"), reports.choice_text(choices).alias("choice"), shown.alias("rows"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS at FROM events", offers=False)
+def shown_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", reports.local_time(F.col("ts")).alias("at"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderpriority = '1-URGENT' AS x FROM orders), e AS (SELECT max(rank) AS edge FROM (SELECT rank FROM r WHERE NOT x ORDER BY rank LIMIT 30))
+    SELECT count(*) AS n FROM r, e WHERE x AND rank <= edge""",
+    offers=False,
+)
+def digest_exclusions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("listing_id"), F.col("o_totalprice").alias("score"), (F.col("o_orderpriority") == "1-URGENT").alias("is_excluded"))
+    return reports.excluded_in_digest(want.ranked(orders.select("listing_id", "score"), [], F.lit(True)), orders.select("listing_id", "is_excluded"), 30)
+
+
+@query(
+    """WITH p AS (SELECT p_brand AS k, p_size % 2 AS l FROM part GROUP BY ALL), h AS (SELECT DISTINCT p_brand AS k, p_size % 3 AS l FROM part WHERE p_size % 3 < 2 OR p_retailprice > 1000)
+    SELECT CAST(coalesce(p.l, h.l) AS VARCHAR) AS level, count(p.k) AS known, count(*) FILTER (WHERE p.k IS NOT NULL AND h.k IS NOT NULL) AS covered, count(*) FILTER (WHERE p.k IS NULL) AS strange FROM p FULL JOIN h ON p.k = h.k AND p.l = h.l GROUP BY 1""",
+    offers=False,
+)
+def hazard_coverage(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    cell = lambda rows, by: rows.select(F.col("p_brand").alias("key"), (F.col("p_size") % by).cast("string").alias("level"))
+    return upkeep.coverage_identity(cell(parts.where("p_size % 3 < 2 or p_retailprice > 1000"), 3), cell(parts, 2))
+
+
+RATES = """WITH fresh AS (SELECT 'N' || c_nationkey || CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE '' END AS city, c_mktsegment AS segment, CAST(count(*) AS DOUBLE) AS v FROM customer GROUP BY ALL), c AS (SELECT n_nationkey AS id, 'N' || n_nationkey AS name FROM nation)"""
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    people, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("city_id"), spelt("N", F.col("n_nationkey")).alias("name"))
+    fresh = people.groupBy(spelt("N", F.col("c_nationkey"), F.when(F.col("c_mktsegment") == "BUILDING", "x").otherwise("")).alias("city"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("rate_value"))
+    stored = nations.select("city_id", F.lit("BUILDING").alias("segment"), F.lit(1.0).alias("rate_value")).unionByName(nations.select("city_id", F.lit("MACHINERY").alias("segment"), F.lit(2.0).alias("rate_value")))
+    return upkeep.synced_rates(stored, fresh, nations, ["segment"])
+
+
+@query(
+    RATES
+    + """, new AS (SELECT id AS city_id, segment, v FROM fresh JOIN c ON name = city), old AS (SELECT id AS city_id, unnest(['BUILDING', 'MACHINERY']) AS segment, unnest([1.0, 2.0]) AS v FROM c)
+    SELECT city_id, segment, CAST(v AS DOUBLE) AS rate_value FROM new UNION ALL SELECT city_id, segment, CAST(v AS DOUBLE) FROM old WHERE (city_id, segment) NOT IN (SELECT city_id, segment FROM new)""",
+    offers=False,
+)
+def synced_rates(spark, sf_dir):
+    return _rates(spark, sf_dir)[0]
+
+
+@query(RATES + " SELECT city, count(*) AS n FROM fresh WHERE city NOT IN (SELECT name FROM c) GROUP BY 1", offers=False)
+def unresolved_rate_keys(spark, sf_dir):
+    return _rates(spark, sf_dir)[1]
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) / CAST(o_custkey % 7 AS DOUBLE) AS unit_price FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 > 0", offers=False)
+def unit_prices(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("kind"), F.floor("o_totalprice").alias("price"), (F.col("o_custkey") % 7).cast("double").alias("area"))
+    return upkeep.unit_prices(rows, "F", "area").select("o_orderkey", "unit_price")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'sold' ELSE 'active' END AS status FROM lineitem""", offers=False
+)
+def marked_status(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", listing_id(), F.lit("active").alias("status"), "l_returnflag")
+    return snapshot.with_status(rows.drop("l_returnflag"), rows.where("l_returnflag = 'R'").select("listing_id"), "sold").drop("listing_id")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT l_orderkey AS listing_id, l_returnflag AS code FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT l_orderkey AS listing_id, l_returnflag AS code FROM lineitem WHERE l_linestatus = 'O')
+    SELECT coalesce(a.listing_id, b.listing_id) AS listing_id, coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NULL THEN 'text' ELSE 'site' END AS source FROM a FULL JOIN b ON a.listing_id = b.listing_id AND a.code = b.code""",
+    offers=False,
+)
+def merged_features(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    side = lambda status, source: lines.where(F.col("l_linestatus") == status).select(F.col("l_orderkey").alias("listing_id"), F.col("l_returnflag").alias("code"), F.lit(source).alias("source"))
+    return snapshot.merged_features([side("F", "site"), side("O", "text")])
+
+
+@query(
+    """, gk AS (SELECT listing_id, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk, property_family, unit_id FROM listings), hit AS (SELECT DISTINCT gk FROM gk WHERE unit_id <= 20)
+    SELECT listing_id, false AS is_favourite, true AS is_excluded FROM gk WHERE property_family = 'CHINTAI' AND gk IN (SELECT gk FROM hit)
+    UNION ALL SELECT listing_id, true, true FROM gk WHERE property_family = 'CHINTAI' AND gk NOT IN (SELECT gk FROM hit)"""
+)
+def unset_marks(spark, sf_dir):
+    offers = listings(spark, sf_dir).select("listing_id", grouping.group_or_self().alias("gk"), "property_family", "unit_id")
+    made = offers.where("property_family = 'CHINTAI'").select("listing_id", F.lit(True).alias("is_favourite"), F.lit(True).alias("is_excluded"), F.lit(None).cast("string").alias("memo"))
+    return marks.flag_set(offers, made, offers.where("unit_id <= 20"), "is_favourite", False).drop("memo")
+
+
+@query(
+    """WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name <= 'Customer#000000100', c_name) AS place FROM customer), t AS (SELECT * FROM r WHERE place <= 40) SELECT CASE WHEN count(*) >= 40 THEN max_by(c_name, place) END AS cursor FROM t""",
+    offers=False,
+)
+def next_cursor(spark, sf_dir):
+    rows = pages.rotated(table(spark, sf_dir, "customer").select("c_name"), "c_name", "Customer#000000100", 40)
+    placed = rows.withColumn("_place", F.struct(F.col("c_name") <= "Customer#000000100", "c_name"))
+    return placed.agg(upkeep.next_cursor(placed, "c_name", 40).alias("cursor"))
+
+
+@query(
+    """, kept AS (SELECT listing_id, rent_total AS cost, area_sqm, walk_minutes, age_years, first_seen FROM listings WHERE area_sqm >= 5)
+    SELECT 'area' AS sort, listing_id FROM (SELECT listing_id FROM kept ORDER BY area_sqm DESC NULLS LAST, listing_id LIMIT 50) UNION ALL SELECT 'walk', listing_id FROM (SELECT listing_id FROM kept ORDER BY walk_minutes ASC NULLS LAST, listing_id LIMIT 50)
+    UNION ALL SELECT 'age', listing_id FROM (SELECT listing_id FROM kept ORDER BY age_years ASC NULLS LAST, listing_id LIMIT 50) UNION ALL SELECT 'newest', listing_id FROM (SELECT listing_id FROM kept ORDER BY first_seen DESC NULLS LAST, listing_id LIMIT 50)
+    UNION ALL SELECT 'price', listing_id FROM (SELECT listing_id FROM kept ORDER BY cost ASC NULLS LAST, listing_id LIMIT 50) UNION ALL SELECT 'rank', listing_id FROM (SELECT listing_id FROM kept ORDER BY listing_id LIMIT 50) UNION ALL SELECT 'score', listing_id FROM (SELECT listing_id FROM kept ORDER BY area_sqm DESC NULLS LAST, listing_id LIMIT 50)"""
+)
+def sorted_pages(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("cost", F.col("rent_total")).withColumn("rank", F.lit(None).cast("long")).withColumn("score", F.col("area_sqm"))
+    made = None
+    for sort in pages.ORDERS:
+        one = pages.page(rows, pages.ListingFilter(area_min=5, sort=sort)).select(F.lit(sort).alias("sort"), "listing_id")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+DICTIONARY = {"common": [{"code": "FEAT_THE", "patterns": ["the and", "the"], "negatives": ["pathetic"]}], "RENT": [{"code": "FEAT_ING", "patterns": ["ingly", "tion"]}]}
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lower(text) AS t, CASE WHEN doc_id % 2 = 0 THEN 'CHINTAI' ELSE 'TOCHI_BUY' END AS family FROM documents)
+    SELECT doc_id, concat_ws(',', CASE WHEN family = 'CHINTAI' THEN CASE WHEN contains(t, 'ingly') THEN 'FEAT_ING=ingly' WHEN contains(t, 'tion') THEN 'FEAT_ING=tion' END END,
+        CASE WHEN contains(t, 'pathetic') THEN NULL WHEN contains(t, 'the and') THEN 'FEAT_THE=the and' WHEN contains(t, 'the') THEN 'FEAT_THE=the' END) AS found FROM d""",
+    offers=False,
+)
+def dictionary_by_family(spark, sf_dir):
+    made = upkeep.dictionary([DICTIONARY], {"RENT": ("CHINTAI",)})
+    entries = upkeep.dictionary_of(upkeep.dictionary_rows(spark, made))  # as stored and read back
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), F.when(F.col("doc_id") % 2 == 0, "CHINTAI").otherwise("TOCHI_BUY").alias("family"))
+    found = features.extracted(rows, entries, "t", "family")
+    return found.select("doc_id", F.concat_ws(",", F.transform("features", lambda x: F.concat_ws("=", x["code"], x["matched"]))).alias("found"))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS listing_id, l_returnflag AS code FROM lineitem WHERE l_linestatus = 'O'), s AS (SELECT l_orderkey AS listing_id, l_returnflag AS code FROM lineitem WHERE l_linestatus = 'F')
+    SELECT listing_id, code, count(*) AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM s WHERE listing_id NOT IN (SELECT listing_id FROM f)) GROUP BY 1, 2""",
+    offers=False,
+)
+def saved_features(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_returnflag").alias("code"), "l_linestatus")
+    side = lambda status: lines.where(F.col("l_linestatus") == status).drop("l_linestatus")
+    return stats.counted(views.replaced_rows(side("F"), side("O"), ["listing_id"]), ["listing_id", "code"])
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey % 30 AS gas, l_extendedprice AS yen, l_linenumber AS rank FROM lineitem) SELECT gas, count(*) AS rows, median(yen) AS median_yen, round(avg(rank), 2) AS mean_rank, count(*) FILTER (WHERE rank <= 3) AS in_top, round(count(*) / (SELECT count(*) FROM p), 4) AS share FROM p GROUP BY 1""",
+    offers=False,
+)
+def utility_statistics(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 30).alias("gas"), F.col("l_extendedprice").alias("yen"), F.col("l_linenumber").alias("rank"))
+    return reports.utility_report(rows, "gas", "yen", "rank", 3)
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_acctbal < 5000), q AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_mktsegment END AS v FROM customer WHERE c_acctbal > 0)
+    SELECT count(*) FILTER (WHERE p.k IS NULL) AS inserted, count(*) FILTER (WHERE q.k IS NULL) AS removed, count(*) FILTER (WHERE p.v <> q.v) AS updated FROM p FULL JOIN q ON p.k = q.k""",
+    offers=False,
+)
+def sync_counts(spark, sf_dir):
+    from lodeframe.sources import masters
+
+    people = table(spark, sf_dir, "customer")
+    stored = people.where("c_acctbal < 5000").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    fresh = people.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 == 0, "x").otherwise(F.col("c_mktsegment")).alias("v"))
+    return masters.synced(stored, fresh, ["k"], ["v"])[1]
+
+
+@query(
+    """WITH s AS (SELECT o_custkey % 40 AS site, o_orderpriority AS pattern, CASE WHEN max(o_orderkey) % 5 <> 0 THEN max(o_orderdate) END AS scanned_at FROM orders GROUP BY 1, 2)
+    SELECT site, pattern FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY scanned_at IS NOT NULL, scanned_at, pattern) AS n FROM s WHERE pattern <> '5-LOW') WHERE n = 1""",
+    offers=False,
+)
+def claimed_rotation(spark, sf_dir):
+    from lodeframe.operators.address import claimed
+
+    state = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("site"), F.col("o_orderpriority").alias("pattern")).agg(F.when(F.max("o_orderkey") % 5 != 0, F.max("o_orderdate")).alias("scanned_at"), F.max("o_orderkey").alias("cursor"))
+    return claimed(state, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]).select("site", "pattern")
