@@ -1,15 +1,17 @@
-"""N-gram Jaccard join by MinHash banding, in place of an LSH forest, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts are sets of five-word shingles; two texts link if the Jaccard similarity of their sets is
 at least the threshold. Texts of equal sets form a class and are represented by their smallest
-doc_id. Every representative gets `TREES` keys, each folded from as many minima (one-permutation
-hashing; an empty bin borrows from the first filled one in an order of its own, so that the keys of
-texts with few shingles stay independent). How many is the most, up to `DEEPEST`, for which
-1 - (1 - threshold^depth)^TREES reaches the target recall: it follows from the constants, is the
-same for all texts, and no other depth is tried. Sorting
-by key puts sharers next to each other, so neighbours are joined instead of all pairs of a
-bucket. All representatives that hang together are then compared exactly, in tiles, with their
-whole shingle sets; no candidate is capped.
+doc_id. Every representative enters `TREES` prefix tries with as many minima (one-permutation
+hashing; an empty bin borrows from the first filled one in an order of its own, so that the tries
+of texts with few shingles stay independent). Sorting a trie puts sharers of the longest prefixes
+next to each other. A text matches at the deepest level first; its prefix is shortened until the
+expected recall of the least similar link that a text of its size can have reaches the target (the
+similarity of small sets takes few values: a text of six shingles has none between 5/6 and the
+threshold). Two texts are candidates if they share the longer prefix that either of them still needs. Neighbours are joined instead of all
+pairs of a prefix. All representatives that hang together are then compared exactly, in tiles, with
+their whole shingle sets; no candidate is capped. Sets are compared by 64-bit hashes of shingles and equal
+sets by 128 bits: results are exact up to collisions of those.
 
 Defined cases: words are runs of non-blanks; a text of one to four words is one shingle of them
 all; a null, empty or blank text has no shingles and links with nothing; of several rows with one
@@ -19,6 +21,7 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ TREES, DEEPEST, RECALL = 32, 8, 0.999
 BINS = TREES * DEEPEST
 #: Texts in a tile; components up to this size share a task by about as many texts.
 TILE = 384
+#: Parts that the copies of a text are spread over where they meet their class.
+SALTS = 64
 U = np.uint64
 #: For each bin, all bins in an order of its own.
 LENDERS = np.argsort(W.mix(np.arange(1, BINS * BINS + 1, dtype=U) * W.ODD).reshape(BINS, BINS), axis=1)
@@ -73,11 +78,27 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value[new], of[new]
 
 
-def signatures(value: np.ndarray, of: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text with shingles (its numbers, fingerprints of its set, and prefix keys by tree)."""
+def least_similarity(size: int, threshold: float) -> float:
+    """The least similarity, at or above the threshold, that a set of `size` can have with another set."""
+    best = 1.0
+    for shared in range(size, max(0, int(threshold * size) - 1), -1):
+        union = int(shared / threshold + 1e-9)
+        if union >= size:
+            best = min(best, shared / union)
+    return best
+
+
+@functools.lru_cache(4)
+def depths_by_size(threshold: float, recall: float) -> np.ndarray:
+    """How deep a prefix a text may keep, by its number of shingles; sizes beyond the table need the depth of the threshold."""
+    return np.array([DEEPEST] + [depth_for(least_similarity(n, threshold), recall) for n in range(1, 64)] + [depth_for(threshold, recall)])
+
+
+def minima(value: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text with shingles (its numbers): fingerprints of its set, how many shingles, minima by bin."""
     there = np.unique(of)
     if not len(there):
-        return there, np.zeros((0, 2), np.int64), np.zeros((0, TREES), np.int64)
+        return there, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, BINS), U)
     starts = np.searchsorted(of, there)
     prints = np.stack([np.add.reduceat(W.mix(value * f + f), starts) for f in (W.ODD, W.OTHER)], axis=1)
     row = np.searchsorted(there, of)
@@ -95,61 +116,86 @@ def signatures(value: np.ndarray, of: np.ndarray, n: int, depth: int) -> tuple[n
         lent = filled[text, lender]
         low[text[lent], gap[lent]] = low[text[lent], lender[lent]]  # only gaps are written, only filled bins read
         text, gap = text[~lent], gap[~lent]
-    keys = np.broadcast_to(W.mix(np.arange(1, TREES + 1, dtype=U)), (len(there), TREES)).copy()
+    return there, prints.view(np.int64), np.diff(np.append(starts, len(of))), low
+
+
+def prefixes(low: np.ndarray, depth: int) -> np.ndarray:
+    """A key for the prefix of `depth` minima in every trie."""
+    keys = np.broadcast_to(W.mix(np.arange(1, TREES + 1, dtype=U)), (len(low), TREES)).copy()
     for level in range(depth):
         keys = W.mix(keys * W.OTHER + low[:, level * TREES : (level + 1) * TREES])
-    return there, prints.view(np.int64), keys.view(np.int64)
+    return keys.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+def signatures(value: np.ndarray, of: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text with shingles (its numbers, fingerprints of its set, and prefix keys by trie)."""
+    there, prints, _, low = minima(value, of, n)
+    return there, prints, prefixes(low, depth)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
+    """doc, fingerprints, whether its prefix is shortened, and the shortest and the whole prefix in every trie."""
+    shortest, depths = depth_for(threshold, recall), depths_by_size(threshold, recall)
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for rows, texts in text_pieces(ids, batch.column(1).cast(pa.binary()).to_pylist()):
             value, of = shingle_sets(texts)
-            there, prints, keys = signatures(value, of, len(texts), depth)
+            there, prints, sizes, low = minima(value, of, len(texts))
+            short = depths[np.minimum(sizes, len(depths) - 1)] < DEEPEST
+            keys = np.stack([prefixes(low, shortest), prefixes(low, DEEPEST)], axis=2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows[there]]), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([k.tobytes() for k in keys], pa.binary())],
-                names=["doc", "f", "g", "keys"],
+                [pa.array(ids[rows[there]]), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(short), pa.array([k.tobytes() for k in keys], pa.binary())],
+                names=["doc", "f", "g", "short", "keys"],
             )
 
 
-EDGE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("other", pa.int64())])
+EDGE = pa.schema([("key", pa.int64()), ("deep", pa.int64()), ("short", pa.bool_()), ("doc", pa.int64()), ("other", pa.int64())])
+EDGE_SQL = "key long, deep long, short boolean, doc long, other long"
+
 
+def neighbours(key: np.ndarray, deep: np.ndarray, short: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In trie order: the first of each node, whether the node is short, and a forest over the documents of a node as id, id before.
 
-def neighbours(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key: (first of each key, and a forest over the documents that share keys as id, id before)."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    same = key[1:] == key[:-1]
+    A node is a whole prefix, or the shortest one where some text under it was shortened to that.
+    """
+    order = np.lexsort((doc, deep, key))
+    key, deep, short, doc = key[order], deep[order], short[order], doc[order]
+    if not len(key):
+        return order, short, doc, doc
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    any_short = np.repeat(np.logical_or.reduceat(short, starts), np.diff(np.append(starts, len(key))))
+    same = (key[1:] == key[:-1]) & (any_short[1:] | (deep[1:] == deep[:-1]))
     ids, index = np.unique(doc, return_inverse=True)
     label = forest(index[1:][same], index[:-1][same], len(ids))
     later, before = chains(label, ids, np.ones(len(ids), bool))
-    return order[np.append(True, ~same)] if len(key) else order, later, before
+    first = np.append(True, ~same)
+    return order[first], any_short[first], later, before
 
 
 def _local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
+    held = list(batches)  # one of the partitions of the representatives
     if not sum(map(len, held)):
         return
     table = pa.Table.from_batches(held)
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
-    doc = np.repeat(table["doc"].to_numpy(), TREES)
-    first, later, before = neighbours(keys, doc)
-    yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(doc[first]), pa.nulls(len(first), pa.int64())], schema=EDGE)
-    yield pa.RecordBatch.from_arrays([pa.array(W.mix(later.astype(U)).view(np.int64)), pa.array(later), pa.array(before)], schema=EDGE)
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64).reshape(-1, 2)
+    doc, short = (np.repeat(table[c].to_numpy(), TREES) for c in ("doc", "short"))
+    first, node, later, before = neighbours(keys[:, 0], keys[:, 1], short, doc)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[first, 0]), pa.array(keys[first, 1]), pa.array(node), pa.array(doc[first]), pa.nulls(len(first), pa.int64())], schema=EDGE)
+    none = pa.nulls(len(later), pa.int64()), pa.nulls(len(later), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(W.mix(later.astype(U)).view(np.int64)), *none, pa.array(later), pa.array(before)], schema=EDGE)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(list(batches), EDGE)  # one of the partitions that the shuffle made
     done = table.filter(pa.compute.is_valid(table["other"]))
     rest = table.filter(pa.compute.is_null(table["other"]))
-    _, later, before = neighbours(rest["key"].to_numpy(), rest["doc"].to_numpy())
+    _, _, later, before = neighbours(*(rest[c].to_numpy() for c in ("key", "deep", "short", "doc")))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([done["doc"].to_numpy(), later])), pa.array(np.concatenate([done["other"].to_numpy(), before]))], names=["src", "dst"])
 
 
 def candidate_groups(reps: DataFrame, parts: int) -> DataFrame:
-    """reps (doc, keys) -> id, component: representatives that hang together by shared prefixes."""
-    met = reps.mapInArrow(_local_links, "key long, doc long, other long").repartition(parts, "key").mapInArrow(_met, "src long, dst long")
+    """reps (doc, short, keys) -> id, component: representatives that hang together by shared prefixes."""
+    met = reps.mapInArrow(_local_links, EDGE_SQL).repartition(parts, "key").mapInArrow(_met, "src long, dst long")
     return connected_components(met)
 
 
@@ -212,10 +258,10 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 def linked(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """jaccard_links of texts (doc_id, text) whose doc_ids are unique."""
-    spark, depth = texts.sparkSession, depth_for(threshold, recall)
-    signed = written(texts.mapInArrow(lambda b: _signed(b, depth), "doc long, f long, g long, keys binary"))
-    classes = written(signed.groupBy("f", "g").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc").alias("keys")))
-    groups = candidate_groups(classes.select(F.col("rep").alias("doc"), "keys"), parts_for(spark, signed.count() * TREES, 400_000))
+    spark = texts.sparkSession
+    signed = written(texts.mapInArrow(lambda b: _signed(b, threshold, recall), "doc long, f long, g long, short boolean, keys binary"))
+    classes = written(signed.groupBy("f", "g").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("short").alias("short"), F.min_by("keys", "doc").alias("keys")))
+    groups = candidate_groups(classes.select(F.col("rep").alias("doc"), "short", "keys"), parts_for(spark, signed.count() * TREES, 400_000))
     placed = written(
         groups.join(classes.select(F.col("rep").alias("id"), "copies"), "id").withColumnRenamed("id", "doc_id")
     )
@@ -238,9 +284,18 @@ def linked(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         classes.select("f", "g", "rep", "copies")
         .join(links.withColumnRenamed("doc", "rep"), "rep", "left")
         .join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("f", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("f", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "copies")
     )
-    members = signed.select(F.col("doc").alias("doc_id"), "f", "g").join(classed, ["f", "g"]).select("doc_id", "n_links", "component_id")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")  # copies of one text are spread; a class that has few copies isn't repeated for all salts
+    spread_classes = classed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(F.lit(SALTS), F.col("copies").cast("int")) - 1)))
+    members = (
+        signed.select(F.col("doc").alias("doc_id"), "f", "g", salt.alias("_s")).join(classed.where(F.col("copies") < SALTS).drop("copies"), ["f", "g"])
+        .select("doc_id", "n_links", "component_id")
+        .unionByName(
+            signed.select(F.col("doc").alias("doc_id"), "f", "g", salt.alias("salt")).join(spread_classes.where(F.col("copies") >= SALTS).drop("copies"), ["f", "g", "salt"])
+            .select("doc_id", "n_links", "component_id")
+        )
+    )
     return (
         texts.select("doc_id").join(members, "doc_id", "left")
         .select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
