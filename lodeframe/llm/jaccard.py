@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm import windows as W
 from lodeframe.llm.components import chains, connected_components, forest
 from lodeframe.llm.phrase_dedup import text_pieces, word_hashes
-from lodeframe.llm.tables import parts_for, written
+from lodeframe.llm.tables import free_name, parts_for, written
 
 THRESHOLD, SHINGLE = 0.8, 5
 TREES, DEEPEST, RECALL = 32, 8, 0.999
@@ -308,6 +308,7 @@ def first_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Every row is judged by its own text, also where rows share a doc_id or have none.
     """
-    rows = W.keyed(documents, "_row")
-    dropped = linked(W.keyed_texts(rows, "_row"), threshold).where("not kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(dropped, "_row", "left_anti").select(*documents.columns)
+    row = free_name(documents, "_row")
+    rows = W.keyed(documents, row)
+    dropped = linked(W.keyed_texts(rows, row), threshold).where("not kept").select(F.col("doc_id").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*documents.columns)

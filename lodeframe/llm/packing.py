@@ -10,7 +10,7 @@ a join with the table of patterns, which is as small as the histogram.
 
 The ids are those of the tokenizers file; they are computed by tiktoken from that file's own
 vocabulary, which is several times faster. Defined cases: a null text is an empty one and gives
-the end id alone; repeated or null doc_ids are packed row by row; empty tables give no rows;
+the end id alone; repeated or null doc_ids are packed row by row; a long text is encoded as a whole and cut into pieces; empty tables give no rows;
 extra columns are ignored.
 """
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import windows as W
-from lodeframe.llm.tables import parts_for, written
+from lodeframe.llm.tables import free_name, parts_for, written
 
 WIDTH = 50
 SHARD_BYTES, PHRASES = 8 << 20, 50_000
@@ -250,11 +250,12 @@ def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     Rows are ordered by doc_id, null last; those that share a doc_id or have none are documents of
     their own. A text that loses nothing stays as it is, one that loses every word leaves.
     """
-    keyed = W.keyed(documents, "_row")
-    spans = W.by_document(repeated_words(W.keyed_texts(keyed, "_row"), width))
-    rows = keyed.join(spans.select(F.col("doc_id").alias("_row"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), "_row", "left")
+    row, low, high = (free_name(documents, name) for name in ("_row", "_lo", "_hi"))
+    keyed = W.keyed(documents, row)
+    spans = W.by_document(repeated_words(W.keyed_texts(keyed, row), width))
+    rows = keyed.join(spans.select(F.col("doc_id").alias(row), F.col("lo").alias(low), F.col("hi").alias(high)), row, "left")
     place = documents.columns.index("text")
-    rows = rows.select(*documents.columns, "_lo", "_hi")
+    rows = rows.select(*documents.columns, low, high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,8 @@ is linear in the averaged vectors, scoring reads one number per bucket and is ex
 Only rows whose crc32 of doc_id as text is no multiple of 5 are learned from; labels, lang,
 source and doc_id are no inputs of a score. Defined cases: a null or empty text has no tokens and
 gets the score of the bias; documents of conflicting or null labels are not learned from; with
-labels of one class or none, every score is the share of label 1 (0.5 without labels). Repeated
+labels of one class or none, every score is the share of label 1 after one half of an example of
+each class is added (0.5 without labels). Repeated
 or null doc_ids are scored like any row (a null one isn't held out). Extra columns are ignored.
 """
 
@@ -22,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from lodeframe.llm.tables import free_name
 
 #: Documents learned from at most, hash buckets, vector length, passes.
 SAMPLE, BUCKETS, WIDTH, EPOCHS = 2000, 1 << 18, 12, 4
@@ -167,21 +171,26 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     return np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of documents and `score`, the probability of label 1."""
+def scored(documents: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """All columns of documents and the probability of label 1, as a column of a name that documents doesn't have."""
+    if name.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"documents has a column {name}")
     weights, bias = documents.sparkSession.sparkContext.broadcast(model[0]), model[1]
-    clear = [c for c in documents.columns if c != "score"]
-    columns = documents.select(*clear)
-    text = columns.columns.index("text")
+    text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = averaged([x or "" for x in batch.column(text).to_pylist()], weights.value)
             score = 1 / (1 + np.exp(-np.clip(values + bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields)
-    return columns.mapInArrow(run, f"{fields}, score double")
+def accepted(documents: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """All columns of the documents that the classifier accepts; their own columns, a `score` among them, stay as they are."""
+    name = free_name(documents, "score")
+    return scored(documents, fit(documents, labels), name).where(F.col(name) >= accept).select(*documents.columns)
 
 
 def quality(documents: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.tables import written
+from lodeframe.llm.tables import free_name, written
 
 U = np.uint64
 ODD, OTHER = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -328,10 +328,11 @@ def keyed(documents: DataFrame, key: str) -> DataFrame:
     if not groups.where("n > 1 or doc_id is null").limit(1).count():
         return documents.withColumn(key, doc_id)
     spark = documents.sparkSession
-    rows = documents.withColumn("_all", F.xxhash64(*documents.columns)).withColumn(key, F.monotonically_increasing_id())
-    order = [doc_id.asc_nulls_last(), F.col("_all"), F.col(key)]
+    whole = free_name(documents.withColumn(key, F.lit(0)), "_all")
+    rows = documents.withColumn(whole, F.xxhash64(*documents.columns)).withColumn(key, F.monotonically_increasing_id())
+    order = [doc_id.asc_nulls_last(), F.col(whole), F.col(key)]
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    return written(rows.withColumn(key, F.monotonically_increasing_id()).drop("_all"))
+    return written(rows.withColumn(key, F.monotonically_increasing_id()).drop(whole))
 
 
 def keyed_texts(rows: DataFrame, key: str) -> DataFrame:
