@@ -24,8 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.scored(docs, model).where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    return quality.accepted(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
