@@ -124,10 +124,15 @@ def scored(views: DataFrame, pattern: Pattern, representative: str = "is_represe
     return want.ranked(judged(views, pattern), ["pattern"], (F.col("must") != must.FAIL) & F.col(representative))
 
 
-def best(offers: DataFrame, pattern: Pattern, most: int) -> DataFrame:
-    """The first `most` of a pattern's ranking.
+def judged_representatives(offers: DataFrame, pattern: Pattern, more: list[str] | None = None) -> DataFrame:
+    """Requirements and score of the representatives of a pattern's family.
 
     The family (a part of every key) is filtered before groups are made, and only representatives are judged.
     """
-    chosen = grouping.representative_rows(offers.where(F.col("property_family") == pattern.family), ["listing_id", "site_id", "property_family", *pattern.columns])
-    return want.top(judged(chosen, pattern).where(F.col("must") != must.FAIL), most)
+    columns = ["listing_id", "site_id", "property_family", *(more or []), *pattern.columns]
+    return judged(grouping.representative_rows(offers.where(F.col("property_family") == pattern.family), columns), pattern)
+
+
+def best(offers: DataFrame, pattern: Pattern, most: int) -> DataFrame:
+    """The first `most` of a pattern's ranking."""
+    return want.top(judged_representatives(offers, pattern).where(F.col("must") != must.FAIL), most)

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodeframe.plans import pattern
 from lodeframe.plans.registry import ORACLE, QUERIES
 from lodeframe.sources import html, masters
@@ -95,4 +97,44 @@ def test_stream_of_changes(spark, tmp_path):
     run()
     events = spark.read.parquet(str(tmp_path / "events")).collect()
     assert sorted((r.batch, r.id, r.event) for r in events) == [(0, 1, "new"), (0, 2, "new"), (1, 1, "price_down")]
-    assert {(r.id, r.price, r.note) for r in spark.read.parquet(str(tmp_path / "snap" / "v1")).collect()} == {(1, 8, "n"), (2, 5, None)}
+    assert {(r.id, r.price, r.note) for r in changes.stored_rows(spark, str(tmp_path / "snap"), 1, spark.createDataFrame([], stored)).collect()} == {(1, 8, "n"), (2, 5, None)}
+
+
+def test_a_scan_is_one_micro_batch(spark, tmp_path):
+    """Requirements of the list page, upsert of touched buckets, groups, scores and events, batch by batch."""
+    import json
+
+    from lodeframe.operators import want
+    from lodeframe.plans import pattern
+
+    offers = "listing_id long, type string, family string, price long, note string, layout string, site_id long"
+    stored = offers + ", status string, first_seen string, last_seen string"
+    one = pattern.Pattern("p", "CHINTAI", {"rent_total_max": 100}, (), (want.Numeric("rent_total", 1, 0, 100),))
+
+    def views(rows):
+        price = F.col("price")
+        return rows.select(
+            "listing_id", "site_id", "layout", "status", price, price.alias("rent_total"), F.lit("CHINTAI").alias("property_family"), F.lit(1).alias("site_priority"), F.lit(0).alias("feature_count"),
+            F.array().cast("array<string>").alias("feature_codes"), F.lit(True).alias("detail_fetched"), F.col("note").alias("dedup_key"),
+        )
+
+    def run(number, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        stream = spark.readStream.schema(offers).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        step = changes.scores_of_changes(one, str(tmp_path / "scores"), views, ["listing_id"])
+        changes.incremental(
+            stream, str(tmp_path / "snap"), str(tmp_path / "events"), str(tmp_path / "check"), ["listing_id"], ["price", "layout", "site_id"], ["note"],
+            lambda s: s.createDataFrame([], stored), {"layouts": ["1K"]}, step, buckets=8,
+        ).awaitTermination()
+
+    row = {"type": "t", "family": "F", "layout": "1K", "site_id": 1}
+    run(0, [row | {"listing_id": k, "price": 10 * k, "note": f"g{k // 2}"} for k in range(1, 7)] + [row | {"listing_id": 9, "price": 1, "layout": "3LDK"}])
+    before = changes.versions(spark, str(tmp_path / "snap"), 0)
+    run(1, [row | {"listing_id": 3, "price": 5, "note": None}])
+    after = changes.versions(spark, str(tmp_path / "snap"), 1)
+    assert [k for k in before if before[k] != after[k]] and sum(v == 1 for v in after.values()) == 1
+    rows = changes.stored_rows(spark, str(tmp_path / "snap"), 1, spark.createDataFrame([], stored)).collect()
+    assert sorted((r.listing_id, r.price) for r in rows) == [(1, 10), (2, 20), (3, 5), (4, 40), (5, 50), (6, 60)]
+    scores = spark.read.parquet(str(tmp_path / "scores")).collect()
+    assert sorted((r.batch, r.dedup_key, r.listing_id, r.event) for r in scores) == [(0, "g0", 1, "new"), (0, "g1", 2, "new"), (0, "g2", 4, "new"), (0, "g3", 6, "new"), (1, "g1", 3, "price_down")]
