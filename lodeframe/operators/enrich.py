@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.operators import stats
+
 
 def latest(rates: DataFrame, keys: list[str], period: str, *ties: str) -> DataFrame:
     """The row of the newest period of each cell (ties by the named columns): a partial aggregate, no window."""
@@ -80,14 +82,16 @@ def preferred(first: DataFrame, second: DataFrame, keys: list[str], value: str,
     return a.join(b, keys, "full").select(*keys, F.coalesce("_a", "_b").alias(value), F.when(F.col("_a").isNotNull(), names[0]).otherwise(names[1]).alias("basis"))
 
 
-def median_with_fallback(rows: DataFrame, keys: list[str], value: str, primary: Column, least: int = 10) -> DataFrame:
-    """Median of the primary rows if there are enough, else of all rows if enough, else no row."""
-    made = rows.groupBy(*keys).agg(
-        F.median(F.when(primary, F.col(value))).alias("_p"), F.count(F.when(primary, F.col(value))).alias("_np"), F.median(value).alias("_all"), F.count(value).alias("_n")
-    )
-    enough = F.col("_np") >= least
-    kept = made.where(enough | (F.col("_n") >= least))
-    return kept.select(*keys, F.when(enough, F.col("_p")).otherwise(F.col("_all")).alias("rate_value"), F.when(enough, "primary").otherwise("all").alias("basis"), F.when(enough, F.col("_np")).otherwise(F.col("_n")).alias("samples"))
+def median_with_fallback(rows: DataFrame, keys: list[str], value: str, primary: Column, least: int = 10, within: tuple[float, float] | None = None) -> DataFrame:
+    """Median of the primary rows if there are enough, else of all rows if enough, else no row; one outside `within` is an error."""
+    twice = rows.select(*keys, F.col(value).alias("_v"), F.explode(F.when(primary, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("_first"))
+    made = stats.placed_values(twice, [*keys, "_first"], "_v").groupBy(*keys, "_first").agg(stats.interpolated(0.5, F.col("_v")).alias("rate_value"), F.max("_all").alias("samples"))
+    enough = made.where(F.col("samples") >= least)
+    best = enough.groupBy(*keys).agg(F.max(F.struct("_first", "rate_value", "samples")).alias("b"))
+    rate = F.col("b.rate_value")
+    if within:
+        rate = F.when(rate.between(*within), rate).otherwise(F.raise_error(F.lit("median out of range")).cast("double"))
+    return best.select(*keys, rate.alias("rate_value"), F.when(F.col("b._first"), "primary").otherwise("all").alias("basis"), F.col("b.samples").alias("samples"))
 
 
 def longest_contained(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str) -> DataFrame:

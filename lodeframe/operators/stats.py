@@ -6,40 +6,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeframe.sources.stored import written
 
-def average_ranks(rows: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks within groups, ties averaged, from counts per value: equal values are never sorted apart."""
-    counts = rows.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*groups, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(ranks, [*groups, value])
 
+def cumulated(counts: DataFrame, groups: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """counts and `name`: the sum of the weights of smaller values of the group.
 
-def spearman(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation per group; null under two pairs or where a side is constant."""
-    pairs = rows.select(*groups, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(pairs, groups, x, "_rx"), groups, y, "_ry")
-    made = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("pairs"), (F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("_c"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
-    defined = (F.col("pairs") >= 2) & (F.col("_x0") != F.col("_x1")) & (F.col("_y0") != F.col("_y1"))
-    return made.select(*groups, "pairs", F.when(defined, F.round("_c", 6)).alias("spearman"))
+    Values are sorted by ranges over all groups; a sum is one within its range plus the group's sums of
+    the ranges before it. A range has about as many rows as any other, whatever the groups' sizes.
+    """
+    spark = counts.sparkSession
+    order = [*groups, value]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*groups, "_part").agg(F.sum(weight).alias("_sum"))  # a row for each range that a group has
+    before = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*groups).orderBy("_part"))), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum(weight).over(earlier(Window.partitionBy("_part", *groups).orderBy(value))), F.lit(0))
+    return placed.withColumn("_within", within).join(before, [*groups, "_part"]).select(*counts.columns, (F.col("_before") + F.col("_within")).alias(name))
 
 
-def nearest_percentile(rows: DataFrame, groups: list[str], value: str, ratios: list[float]) -> DataFrame:
-    """Values at place min(int(n * ratio), n - 1) of the sorted values, without interpolation.
+def average_ranks(counts: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """1-based ranks of the values of counts (groups, value, _n), ties averaged."""
+    made = cumulated(counts, groups, value, "_n", "_before")
+    return made.select(*groups, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+
 
-    The places are found on counts per value, so no group is gathered or sorted as a whole.
+def spearman(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
+    """Rank correlation per group; null under two pairs or where a side is constant.
+
+    Pairs of values are counted once; ranks come from those counts, and moments are weighted by them.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*groups).orderBy(value)
-    whole = Window.partitionBy(*groups)
-    placed = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(whole))
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = lambda c, name: average_ranks(pairs.groupBy(*groups, c).agg(F.sum("_n").alias("_n")), groups, c, name)
+    both = pairs.join(ranks(x, "_rx"), [*groups, x]).join(ranks(y, "_ry"), [*groups, y])
+    n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
+    middle = (F.col("_all") + 1) / 2  # ranks of n rows average to this
+    sizes = pairs.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    made = both.join(sizes, groups).groupBy(*groups).agg(
+        F.sum("_n").alias("pairs"), F.sum(n * (rx - middle) * (ry - middle)).alias("_xy"), F.sum(n * (rx - middle) * (rx - middle)).alias("_xx"), F.sum(n * (ry - middle) * (ry - middle)).alias("_yy")
+    )
+    shared = F.col("_xy") / F.nullif(F.sqrt(F.col("_xx") * F.col("_yy")), F.lit(0.0))
+    return made.select(*groups, "pairs", F.when((F.col("pairs") >= 2) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.round(shared, 6)).alias("spearman"))
+
+
+def placed_values(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups, value, _n, _before (rows of smaller values), _all (rows of the group)."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias(value)).agg(F.count(F.lit(1)).alias("_n"))
+    made = cumulated(counts, groups, value, "_n", "_before")
+    return made.join(made.groupBy(*groups).agg(F.sum("_n").alias("_all")), groups)
+
+
+def at_place(place: Column, value: Column) -> Column:
+    """Aggregate over placed_values: the value at a 0-based place of the group's sorted rows."""
+    return F.min(F.when(F.col("_before") + F.col("_n") > place, value))
+
+
+def nearest_percentile(rows: DataFrame, groups: list[str], value: str, ratios: list[float]) -> DataFrame:
+    """Values at place min(int(n * ratio), n - 1) of the sorted values, without interpolation."""
     at = lambda r: F.least(F.floor(F.col("_all") * r), F.col("_all") - 1)
-    return placed.groupBy(*groups).agg(*(F.min(F.when(F.col("_end") > at(r), F.col(value))).alias(f"p{round(r * 100)}") for r in ratios))
+    return placed_values(rows, groups, value).groupBy(*groups).agg(*(at_place(at(r), F.col(value)).alias(f"p{round(r * 100)}") for r in ratios))
+
+
+def interpolated(ratio: float, value: Column) -> Column:
+    """Aggregate over placed_values: the percentile between its two neighbouring places."""
+    exact = (F.col("_all") - 1) * F.lit(ratio)
+    low, high = at_place(F.floor(exact), value), at_place(F.ceil(exact), value)
+    part = F.max(exact - F.floor(exact))
+    return low + (high - low) * part
 
 
 def quartiles(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Interpolated quartiles, rounded to whole numbers half up."""
-    return rows.groupBy(*groups).agg(*(F.round(F.percentile(value, F.lit(p)), 0).cast("long").alias(f"q{round(p * 100)}") for p in (0.25, 0.5, 0.75)))
+    made = placed_values(rows, groups, value).groupBy(*groups)
+    return made.agg(*(F.round(interpolated(p, F.col(value).cast("double")), 0).cast("long").alias(f"q{round(p * 100)}") for p in (0.25, 0.5, 0.75)))
 
 
 def coverage(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
