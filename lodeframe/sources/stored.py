@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only a session without it (tests, local mode) gets one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
