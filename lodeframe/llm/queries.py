@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeframe.llm.ann import nearest
 from lodeframe.llm.embedding_dedup import embedding_links
 from lodeframe.llm.jaccard import jaccard_links
+from lodeframe.llm.merkle import merkle_manifest
 from lodeframe.llm.packing import pack
 from lodeframe.llm.phrase_dedup import phrase_dedup
 from lodeframe.llm.pii import personal
@@ -17,6 +18,7 @@ from lodeframe.llm.sentencepiece import round_trip
 from lodeframe.llm.sharding import sharded
 from lodeframe.llm.suffix_dedup import suffix_dedup
 from lodeframe.llm.tables import read
+from lodeframe.llm.vector_codes import vector_codes
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,8 +80,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds as one CTE each."""
+    lloyd = "".join(f"""
+    ), a{t} AS (
+        SELECT vec_id, label, p, v, k, d FROM (SELECT w.*, c.k, CAST(list_sum(list_transform(list_zip(w.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM parts w JOIN c{t} c ON w.p = c.p)
+        QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1""" + ("" if t == rounds else f"""
+    ), m{t} AS (
+        SELECT p, k, list(m ORDER BY i) AS v FROM (
+            SELECT p, k, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM a{t}, range(1, (SELECT len(v) + 1 FROM parts LIMIT 1)) AS r(i) GROUP BY p, k, i
+        ) GROUP BY p, k
+    ), c{t + 1} AS (
+        SELECT c{t}.p, c{t}.k, coalesce(m{t}.v, c{t}.v) AS v FROM c{t} LEFT JOIN m{t} ON c{t}.p = m{t}.p AND c{t}.k = m{t}.k""") for t in range(rounds + 1))
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)
+    ), parts AS (
+        SELECT vec_id, label, p, e[p * (len(e) // 8) + 1 : (p + 1) * (len(e) // 8)] AS v FROM kept, range(8) AS r(p)
+    ), c0 AS (
+        SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16){lloyd}
+    ), books AS (
+        SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds}
+    ), codes AS (
+        SELECT vec_id, label, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, books
+    """
+
+
 #: DuckDB twins, where SQL can express the result.
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": """
@@ -98,4 +139,48 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_vector_codes": _lloyd_sql(),
+    "op13_merkle_manifest": """
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, lang, text, concat(
+                coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+                coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head
+            FROM documents
+        ), bits AS (
+            SELECT *, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: (CAST(ascii(c) AS BIGINT) >> i) & 1))) AS bits FROM texts
+        ), leaves AS (
+            SELECT doc_id, lang, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+                   CASE WHEN xor(list_reduce(list_prepend(4294967295, bits), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 3 = 0
+                        THEN sha256(concat(head, coalesce(concat(strlen(text), ':', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '-'))) END AS changed
+            FROM bits
+        ), entries AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+        ), trees(lang, height, pos, digest, n) AS (
+            SELECT lang, 0, pos, leaf, n FROM entries
+            UNION ALL SELECT lang, height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM trees WHERE n > 1 GROUP BY lang, height, pos // 8, n
+        ), subroots AS (
+            SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM trees WHERE n = 1
+        ), tops(height, pos, digest, n) AS (
+            SELECT 0, pos, digest, n FROM subroots
+            UNION ALL SELECT height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY height, pos // 8, n
+        ), runs AS (
+            SELECT lang, height, pos // 8 AS run, list(digest ORDER BY pos) AS members FROM trees WHERE n > 1 GROUP BY ALL
+        ), top_runs AS (
+            SELECT height, pos // 8 AS run, list(digest ORDER BY pos) AS members FROM tops WHERE n > 1 GROUP BY ALL
+        ), walk(doc_id, lang, leaf, height, pos, n, folded, beside) AS (
+            SELECT doc_id, lang, leaf, 0, pos, n, coalesce(changed, leaf), '' FROM entries
+            UNION ALL SELECT w.doc_id, w.lang, w.leaf, w.height + 1, w.pos // 8, (w.n + 7) // 8,
+                sha256(concat(array_to_string(r.members[:w.pos % 8], ''), w.folded, array_to_string(r.members[w.pos % 8 + 2:], ''))),
+                concat(w.beside, array_to_string(r.members[:w.pos % 8], ''), array_to_string(r.members[w.pos % 8 + 2:], ''))
+            FROM walk w JOIN runs r ON w.lang IS NOT DISTINCT FROM r.lang AND w.height = r.height AND w.pos // 8 = r.run WHERE w.n > 1
+        ), over(doc_id, leaf, subroot, height, pos, n, folded, beside) AS (
+            SELECT w.doc_id, w.leaf, s.digest, 0, s.pos, s.n, w.folded, w.beside FROM walk w JOIN subroots s ON w.n = 1 AND w.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.height + 1, w.pos // 8, (w.n + 7) // 8,
+                sha256(concat(array_to_string(r.members[:w.pos % 8], ''), w.folded, array_to_string(r.members[w.pos % 8 + 2:], ''))),
+                concat(w.beside, array_to_string(r.members[:w.pos % 8], ''), array_to_string(r.members[w.pos % 8 + 2:], ''))
+            FROM over w JOIN top_runs r ON w.height = r.height AND w.pos // 8 = r.run WHERE w.n > 1
+        )
+        SELECT doc_id, leaf, subroot, t.digest AS root, sha256(beside) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+        FROM over JOIN tops t ON over.n = 1 AND t.n = 1
+""",
 }
