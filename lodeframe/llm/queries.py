@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeframe.llm.ann import nearest
 from lodeframe.llm.embedding_dedup import embedding_links
 from lodeframe.llm.jaccard import jaccard_links
+from lodeframe.llm.language import language_id
 from lodeframe.llm.merkle import merkle_manifest
 from lodeframe.llm.packing import pack
 from lodeframe.llm.phrase_dedup import phrase_dedup
@@ -61,6 +62,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_language_id": op11_language_id,
     "op12_vector_codes": op12_vector_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
