@@ -146,3 +146,41 @@ def test_geojson_and_grid_squares(spark):
     corner = found[0][0]
     west, south = 139 + 5 / 8 + 3 / 80 + 0 / 160 + 1 / 320, 53 * 2 / 3 + 4 / 12 + 2 / 120
     assert [(p["x"], p["y"]) for p in corner] == [pytest.approx(x) for x in ((west, south), (west + 1 / 320, south), (west + 1 / 320, south + 1 / 480), (west, south + 1 / 480))]
+
+
+def test_hazard_levels_of_blocks_and_towns(spark):
+    from lodeframe.operators import hazards
+
+    sizes = spark.createDataFrame([("a", "t", 10.0), ("b", "t", 30.0), ("c", "u", 5.0), ("z", "v", 0.0)], "key string, town string, size double")
+    common = spark.createDataFrame([("a", "r1", 2, 4.0), ("a", "r1", 6, 4.0), ("a", "r2", 3, 9.0), ("b", "r1", 1, 6.0), ("c", "s", 2, 9.0)], "key string, dataset string, rank int, area double")
+    kinds = [("flood", "r1", None), ("flood", "r2", None), ("red", "s", 2)]
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in hazards.levels(common, sizes, kinds).collect()}
+    # the larger of two sources, not their sum; a share of at most the whole; 0 where nothing overlaps
+    assert got["a", "chome", "flood"] == (0.9, 3.2, 6.0) and got["b", "chome", "flood"] == (0.2, 0.2, 1.0)
+    assert got["c", "chome", "red"] == (1.0, 2.0, 2.0) and got["a", "chome", "red"] == got["z", "chome", "flood"] == (0.0, 0.0, 0.0)
+    assert got["t", "town", "flood"] == (0.375, 0.95, 6.0) and ("v", "town", "flood") not in got
+    hazards.checked(hazards.levels(common, sizes, kinds), sizes)
+    with pytest.raises(ValueError, match="no overlap at all"):
+        hazards.levels(common, sizes, [("flood", "nowhere", None)])
+    liquid = spark.createDataFrame([("a", 1, 1.0), ("a", 6, 50.0), ("b", 5, 3.0), ("c", 6, 9.0)], "key string, rank int, area double")
+    made = {tuple(r)[:2]: tuple(r)[3:] for r in hazards.graded_levels(liquid, sizes, "liquefaction").collect()}
+    assert made == {("a", "chome"): (1.0, 5.0, 5.0), ("b", "chome"): (0.0, 1.0, 1.0), ("t", "town"): (0.25, 2.0, 5.0)}
+    with pytest.raises(ValueError, match="liquefaction"):
+        hazards.checked(hazards.graded_levels(liquid, sizes, "liquefaction"), sizes, ("liquefaction",))
+
+
+def test_polygons_meet_the_address_master(spark):
+    from lodeframe.operators import hazards
+
+    named = spark.createDataFrame([("東京都", "港区", "芝一丁目"), ("東京都", "港区", "芝１丁目"), ("東京都", "港区", "水面"), ("東京都", "港区", "-")], "p string, c string, n string")
+    keys = [r["k"] for r in named.select(hazards.place_key(F.col("p"), F.col("c"), F.col("n")).alias("k")).collect()]
+    assert keys[0] == "東京都港区芝1丁目" and keys[2] == "東京都港区水面" and keys[3] is None
+    master = spark.createDataFrame([(keys[0], "東京都港区芝"), ("東京都港区海1丁目", "東京都港区海")], "normalized_key string, town_key string")
+    rows = frame(spark, [(keys[0], square(0, 0)), (keys[0], square(0.5, 0)), ("x9丁目", square(7, 7))], "key string")
+    kept = hazards.keyed_polygons(rows, master, least=0.5)
+    assert {(r["key"], r["town"], r["known"]) for r in kept.collect()} == {(keys[0], "東京都港区芝", True), ("x9丁目", "x", False)}
+    assert {(r["key"], r["size"]) for r in hazards.sizes_of(kept).collect()} == {(keys[0], 1.5), ("x9丁目", 1.0)}
+    with pytest.raises(ValueError, match="1 of 2"):
+        hazards.keyed_polygons(rows, master)
+    with pytest.raises(ValueError, match="0 of 2"):
+        hazards.keyed_polygons(rows.where("key like 'x%'"), master, least=0.0)
