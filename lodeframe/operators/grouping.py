@@ -154,3 +154,30 @@ def granularity(address: Column) -> Column:
 def first_per_group(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by a total order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def group_rows(members: DataFrame, by: str = "gk") -> DataFrame:
+    """by, representative_id, representative_cost, member_count: groups without an active member have no representative."""
+    best = members.groupBy(by).agg(F.count(F.lit(1)).alias("member_count"), F.min(F.when(F.col("status") == "active", _order())).alias("b"))
+    return best.select(by, F.col("b.id").alias("representative_id"), F.col("b.cost").alias("representative_cost"), "member_count")
+
+
+def synced_groups(stored: DataFrame, members: DataFrame, keys: DataFrame, number: int, by: str = "gk", buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The groups table after a batch, and the groups whose representative changed.
+
+    stored: by, group_id, representative_id, representative_cost, member_count; members: all members of
+    the groups named in `keys`, after the batch; groups not in keys stay as they are. A group keeps its id
+    for as long as it has a member; a new one gets an id made of the batch's number and its place among
+    the batch's new groups of its hash bucket, so that ids never meet and a batch run again gives the same ones.
+    """
+    keys = keys.select(by).distinct()
+    held, kept = stored.join(keys, by, "left_semi"), stored.join(keys, by, "left_anti")
+    now = group_rows(members.join(keys, by, "left_semi"), by).join(held.select(by, "group_id"), by, "left")
+    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(by), F.lit(buckets))).orderBy(by))
+    fresh = now.where("group_id is null").withColumn("group_id", F.lit(number).cast("long") * (1 << 40) + F.pmod(F.xxhash64(by), F.lit(buckets)) * (1 << 30) + place)
+    after = now.where("group_id is not null").unionByName(fresh).select(*stored.columns)
+    old = held.select(by, "group_id", F.col("representative_id").alias("old_id"), F.col("representative_cost").alias("old_cost"))
+    new = after.select(by, F.col("group_id").alias("_id"), F.col("representative_id").alias("new_id"), F.col("representative_cost").alias("new_cost"), "member_count")
+    changed = old.join(new, by, "full").where("member_count is not null and not (old_id <=> new_id)")
+    changed = changed.select(by, F.coalesce("group_id", "_id").alias("group_id"), "old_id", "old_cost", "new_id", "new_cost", "member_count")
+    return kept.unionByName(after), changed.withColumn("is_cheaper", F.coalesce(F.col("new_cost") < F.col("old_cost"), F.lit(False)))
