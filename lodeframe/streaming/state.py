@@ -57,7 +57,7 @@ class Offers(StatefulProcessor):
         elif price is not None and row["price"] is not None and price != row["price"]:
             event = "price_up" if row["price"] > price else "price_down"
         if event:
-            yield Row(*key, event, row["price"], before)
+            yield Row(**dict(zip(self.key, key, strict=True)), event=event, price=row["price"], price_prev=before)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self.offer.clear()
