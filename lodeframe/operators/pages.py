@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.operators import want
+
 PAGE = 50
 
 
@@ -116,6 +118,17 @@ def check_targets(rows: DataFrame, ranked: int, stale: int, key: str, seen: str)
     return best.union(old).distinct()
 
 
+def check_targets_by_score(rows: DataFrame, ranked: int, stale: int, key: str, seen: str) -> DataFrame:
+    """The same from scores: only the first `ranked` rows are ranked, and the `stale` ones by counting who stands before them in one scan."""
+    best = want.top(rows.select("score", F.col(key).alias("listing_id")), ranked).select(F.col("listing_id").alias(key), "rank")
+    old = rows.orderBy(F.col(seen).asc(), F.col(key).asc()).limit(stale).select(key, "score").collect()  # `stale` rows
+    if not old:
+        return best
+    before = [F.count_if((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col(key) < r[key]))) for r in old]
+    pairs = F.array(*(F.struct(F.lit(r[key]).alias(key), (n + 1).cast("long").alias("rank")) for r, n in zip(old, before, strict=True)))
+    return best.unionByName(rows.agg(pairs.alias("p")).select(F.inline("p"))).distinct()
+
+
 def rotated(areas: DataFrame, code: str, cursor: str | None, size: int) -> DataFrame:
     """The next `size` areas after the cursor, around the end, with their position."""
     passed = F.lit(False) if cursor is None else F.col(code) <= cursor

@@ -147,6 +147,15 @@ def local_time(at: Column, zone: str = "Asia/Tokyo") -> Column:
     return F.coalesce(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), at), "yyyy-MM-dd HH:mm"), F.lit("—"))
 
 
+def excluded_ahead(scores: DataFrame, most: int) -> DataFrame:
+    """How many excluded offers stand before the last of the digest's places; only those places are sorted. scores: listing_id, score, is_excluded."""
+    hidden = F.coalesce("is_excluded", F.lit(False))
+    shown = scores.where(~hidden).orderBy(F.desc("score"), "listing_id").limit(most)
+    last = shown.agg(F.min(F.struct("score", (-F.col("listing_id")).alias("id"))).alias("_edge"))
+    ahead = (F.col("score") > F.col("_edge.score")) | ((F.col("score") == F.col("_edge.score")) & (F.col("listing_id") < -F.col("_edge.id")))
+    return scores.where(hidden).crossJoin(F.broadcast(last)).agg(F.count_if(ahead).alias("n"))  # one row
+
+
 def excluded_in_digest(ranked: DataFrame, marks: DataFrame, most: int) -> DataFrame:
     """How many excluded offers the digest's places would have shown. marks: listing_id, is_excluded."""
     first = ranked.where("rank is not null").join(marks, "listing_id", "left").select("rank", F.coalesce("is_excluded", F.lit(False)).alias("_x"))

@@ -169,16 +169,19 @@ def coverage_identity(levels: DataFrame, points: DataFrame) -> DataFrame:
     return both.groupBy("level").agg(F.count("_a").alias("known"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("covered"), F.count_if(F.col("_a").isNull()).alias("strange"))
 
 
-def synced_rates(stored: DataFrame, fresh: DataFrame, cities: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rates after an upsert by city_id and keys, city names that resolve to nothing with their rows).
+def synced_rates(stored: DataFrame, fresh: DataFrame, cities: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rates after an upsert by city_id and keys, city names that resolve to no single city with their rows, counts of inserted and updated keys).
 
-    fresh: city (a name) and rate_value; cities: name, city_id.
+    fresh: city (a name) and rate_value; cities: name, city_id. Several fresh rows of a key are one (the
+    largest value); a name of several cities names none of them.
     """
-    known = fresh.join(cities.withColumnRenamed("name", "city"), "city", "left")
+    named = cities.groupBy(F.col("name").alias("city")).agg(F.min("city_id").alias("city_id"), F.max("city_id").alias("_other"))
+    known = fresh.join(named.where("city_id = _other").drop("_other"), "city", "left")
     unresolved = known.where("city_id is null").groupBy("city").agg(F.count(F.lit(1)).alias("n"))
-    new = known.where("city_id is not null").select("city_id", *keys, "rate_value")
-    kept = stored.join(new.select("city_id", *keys), ["city_id", *keys], "left_anti")
-    return kept.select(*new.columns).unionByName(new), unresolved
+    new = known.where("city_id is not null").groupBy("city_id", *keys).agg(F.max("rate_value").alias("rate_value"))
+    both = stored.select("city_id", *keys, F.col("rate_value").alias("_old"), F.lit(True).alias("_there")).join(new.withColumn("_comes", F.lit(True)), ["city_id", *keys], "full")
+    counts = both.agg(F.count_if(F.col("_comes") & F.col("_there").isNull()).alias("inserted"), F.count_if(F.col("_comes") & F.col("_there")).alias("updated"))
+    return both.select("city_id", *keys, F.when(F.col("_comes"), F.col("rate_value")).otherwise(F.col("_old")).alias("rate_value")), unresolved, counts
 
 
 def unit_prices(trades: DataFrame, kind: str, area: str) -> DataFrame:

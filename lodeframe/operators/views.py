@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import numbers
 from lodeframe.operators import address, enrich, grouping
+from lodeframe.operators.snapshot import last_of_each
 
 #: family -> (what a market rate's segment is, what is compared with it)
 MARKET = {
@@ -94,10 +95,15 @@ def matched_cities(areas: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def replaced_rows(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """stored without the rows of the keys that come anew, and the new rows: how features and scores of offers are saved."""
+    """stored without the rows of the keys that come anew, and the new rows: how the features of offers are saved."""
     return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*stored.columns))
 
 
+def upserted_scores(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The score table after new scores: one row for each pattern and offer, the largest of several new ones."""
+    return replaced_rows(stored, last_of_each(fresh.select(*stored.columns), ["pattern", "listing_id"]), ["pattern", "listing_id"])
+
+
 def saved_scores(scored: DataFrame) -> DataFrame:
     """Rows of the score table: pattern, listing_id, score, must, config_hash, breakdown (canonical JSON of its items)."""
     rounded = F.transform("score_items", lambda x: F.struct(x["code"].alias("code"), x["kind"].alias("kind"), F.round(x["weight"] * x["s"], 4).alias("points"), x["status"].alias("status"), x["weight"].alias("weight")))
@@ -145,10 +151,12 @@ def out_of_line(limit: float | None = None) -> Column:
     return F.coalesce(F.col("market_rate_ratio") < (threshold() if limit is None else F.lit(limit)), F.lit(False))
 
 
-def anomaly_text(site: Column) -> Column:
-    """One line of a run's report, in the terms of the family."""
+def anomaly_text(site: Column, title: Column) -> Column:
+    """One line of a run's report, in the terms of the family: what isn't known is left out. Its words are fixed values."""
     buy = F.col("property_family").isin(*BUY)
     money = F.when(buy, F.concat(F.lit("価格"), F.format_number("price", 0), F.lit("円"))).otherwise(F.concat(F.lit("月額"), F.format_number("rent_total", 0), F.lit("円")))
-    size = F.when(F.col("property_family") == "KODATE_BUY", F.concat(F.lit("延床"), F.format_number("building_area_sqm", 1), F.lit("㎡"))).otherwise(F.concat(F.format_number("area_sqm", 1), F.lit("㎡")))
+    plain = lambda c: F.col(c).cast("double").cast("string")
+    size = F.when(F.col("property_family") == "KODATE_BUY", F.concat(F.lit("延床"), plain("building_area_sqm"), F.lit("㎡"))).otherwise(F.concat(plain("area_sqm"), F.lit("㎡")))
+    named = F.concat(F.lit("「"), F.left(F.nullif(title, F.lit("")), F.lit(24)), F.lit("」"))
     head = F.concat(F.coalesce(site, F.lit("?")), F.lit(" id="), F.col("listing_id").cast("string"))
-    return F.concat_ws(" / ", head, money, size, F.nullif(F.col("layout"), F.lit("")), F.concat(F.lit("相場比"), F.format_string("%.3f", F.round("market_rate_ratio", 3))))
+    return F.concat_ws(" / ", head, money, size, F.nullif(F.col("layout"), F.lit("")), F.when(F.col("market_rate_ratio").isNotNull(), F.concat(F.lit("相場比"), F.format_string("%.3f", F.round("market_rate_ratio", 3)))), named)

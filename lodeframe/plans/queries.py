@@ -179,8 +179,8 @@ def detail_queue(spark, sf_dir):
     offers=False,
 )
 def check_targets(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("listing_id"))
-    return pages.check_targets(want.ranked(rows, [], F.lit(True)), 30, 25, "o_orderkey", "seen")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen"), F.col("o_totalprice").alias("score"))
+    return pages.check_targets_by_score(rows, 30, 25, "o_orderkey", "seen")
 
 
 RATES_SQL = """rates AS (

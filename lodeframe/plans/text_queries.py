@@ -17,7 +17,7 @@ from lodeframe.plans.frames import listings, table
 from lodeframe.plans.queries import FEATURES, MUST_SQL, NUMERICS, SCORE_SQL, query
 from lodeframe.sources import html, masters
 from lodeframe.sources.robots import Robots
-from lodeframe.sources.stored import shared_dir
+from lodeframe.sources.stored import shared_dir, written
 
 
 def spelt(*parts: Column | str) -> Column:
@@ -248,8 +248,10 @@ def station_master(spark, sf_dir):
     )
     lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("line_cd"), F.col("n_name").alias("line_name"), F.col("n_regionkey").alias("company_cd"), F.when(F.col("n_nationkey") % 5 != 0, 0).otherwise(2).alias("e_status"))
     companies = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("company_cd"), F.col("r_name").alias("company_name"))
-    open_, skipped = masters.stations(spark, _csv(places), _csv(lines), _csv(companies))
-    return open_.select(F.col("station_cd").cast("long"), F.col("line_cd").cast("long")).withColumn("_k", F.lit(1)).join(skipped.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    found, seen = masters.stations(spark, _csv(places), _csv(lines), _csv(companies))
+    stored = written(found.select(F.col("station_cd").cast("long"), F.col("line_cd").cast("long")))  # rows and counts of one scan
+    counts = seen.get
+    return stored.select("*", *(F.lit(counts[x]).alias(x) for x in ("closed_stations", "closed_lines")))
 
 
 @query(
@@ -278,7 +280,7 @@ def hazard_master(spark, sf_dir):
 )
 def address_master(spark, sf_dir):
     towns = table(spark, sf_dir, "part").select(F.lit("千葉県").alias("prefecture"), F.lit("市").alias("city"), spelt("大字", F.col("p_brand"), "町", F.col("p_size"), "丁目").alias("town"), F.lit(35.5).alias("latitude"), F.lit(140.1).alias("longitude"), F.lit("3").alias("kind")).distinct()
-    return masters.address_points(spark, _csv(towns)).select("key", "level", "town_key", "chome_number", "latitude")
+    return masters.address_points(spark, _csv(towns))[0].select("key", "level", "town_key", "chome_number", "latitude")
 
 
 @query(

@@ -59,11 +59,11 @@ def scoring_view_of_site(spark, sf_dir):
     VIEW_SQL
     + """ SELECT listing_id, coalesce(ratio < CASE WHEN property_family IN ('MANSION_BUY', 'KODATE_BUY') THEN 0.10 ELSE 0.20 END, false) AS odd,
     concat_ws(' / ', 'S' || site_id || ' id=' || listing_id, CASE WHEN property_family IN ('MANSION_BUY', 'KODATE_BUY') THEN '価格' || format('{:,}', price) || '円' ELSE '月額' || format('{:,}', rent_total) || '円' END,
-    CASE WHEN property_family = 'KODATE_BUY' THEN '延床' || format('{:,.1f}', building_area_sqm) || '㎡' ELSE format('{:,.1f}', area_sqm) || '㎡' END, layout) AS line FROM view"""
+    CASE WHEN property_family = 'KODATE_BUY' THEN '延床' || CAST(CAST(building_area_sqm AS DOUBLE) AS VARCHAR) || '㎡' ELSE CAST(CAST(area_sqm AS DOUBLE) AS VARCHAR) || '㎡' END, layout, '「' || substr('home ' || listing_id || ' of many', 1, 24) || '」') AS line FROM view"""
 )
 def price_anomalies(spark, sf_dir):
     rows = _view(spark, sf_dir)
-    return rows.select("listing_id", views.out_of_line().alias("odd"), F.regexp_replace(views.anomaly_text(spelt("S", F.col("site_id"))), " / 相場比.*$", "").alias("line"))
+    return rows.select("listing_id", views.out_of_line().alias("odd"), F.regexp_replace(views.anomaly_text(spelt("S", F.col("site_id")), spelt("home ", F.col("listing_id"), " of many")), " / 相場比[0-9.]*", "").alias("line"))
 
 
 @query(
@@ -298,7 +298,7 @@ def shown_times(spark, sf_dir):
 )
 def digest_exclusions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("listing_id"), F.col("o_totalprice").alias("score"), (F.col("o_orderpriority") == "1-URGENT").alias("is_excluded"))
-    return reports.excluded_in_digest(want.ranked(orders.select("listing_id", "score"), [], F.lit(True)), orders.select("listing_id", "is_excluded"), 30)
+    return reports.excluded_ahead(orders, 30)
 
 
 @query(
@@ -315,7 +315,7 @@ def hazard_coverage(spark, sf_dir):
 RATES = """WITH fresh AS (SELECT 'N' || c_nationkey || CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE '' END AS city, c_mktsegment AS segment, CAST(count(*) AS DOUBLE) AS v FROM customer GROUP BY ALL), c AS (SELECT n_nationkey AS id, 'N' || n_nationkey AS name FROM nation)"""
 
 
-def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     people, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("city_id"), spelt("N", F.col("n_nationkey")).alias("name"))
     fresh = people.groupBy(spelt("N", F.col("c_nationkey"), F.when(F.col("c_mktsegment") == "BUILDING", "x").otherwise("")).alias("city"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("rate_value"))
     stored = nations.select("city_id", F.lit("BUILDING").alias("segment"), F.lit(1.0).alias("rate_value")).unionByName(nations.select("city_id", F.lit("MACHINERY").alias("segment"), F.lit(2.0).alias("rate_value")))
@@ -332,6 +332,16 @@ def synced_rates(spark, sf_dir):
     return _rates(spark, sf_dir)[0]
 
 
+@query(
+    RATES
+    + """, new AS (SELECT DISTINCT id AS city_id, segment FROM fresh JOIN c ON name = city), old AS (SELECT id AS city_id, unnest(['BUILDING', 'MACHINERY']) AS segment FROM c)
+    SELECT count(*) FILTER (WHERE old.city_id IS NULL) AS inserted, count(*) FILTER (WHERE old.city_id IS NOT NULL) AS updated FROM new LEFT JOIN old USING (city_id, segment)""",
+    offers=False,
+)
+def synced_rate_counts(spark, sf_dir):
+    return _rates(spark, sf_dir)[2]
+
+
 @query(RATES + " SELECT city, count(*) AS n FROM fresh WHERE city NOT IN (SELECT name FROM c) GROUP BY 1", offers=False)
 def unresolved_rate_keys(spark, sf_dir):
     return _rates(spark, sf_dir)[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,23 +21,45 @@ def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
+#: Where address points come from, as the table says it.
+ADDRESS_SOURCE = "mlit_isj"
 ADDRESS = ["prefecture", "city", "town", "latitude", "longitude", "kind"]
 
 
-def address_points(spark: SparkSession, path: str) -> DataFrame:
-    """key, level, town_key, chome_number, latitude, longitude, merged: the first of several names of a key, the others listed.
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows and `_place`: file by file in the order of their names, in a file by line."""
+    return rows.withColumn("_place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")))
 
-    kind 3 rows are numbered blocks: their name must end in a number.
+
+def address_points(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """(key, level, city_code, town_key, chome_number, longitude, latitude, source, merged, and what was seen on the way).
+
+    Of several rows of a key the first counts, file by file; the names of the others are listed in `merged`.
+    kind 3 rows are numbered blocks: their name must end in a number; other rows are towns, whatever
+    their name ends with. The observation (rows, blocks, towns, without_place) has its values after the first action.
     """
-    rows = csv(spark, path, ADDRESS).withColumn("chome_number", F.when(F.col("kind") == "3", F.nullif(F.regexp_extract("town", "([0-9]+)丁目$", 1), F.lit("")).cast("int")))
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    if missing := [c for c in ADDRESS if c not in rows.columns]:
+        raise ValueError(f"{path}: columns missing: {missing}")
+    code = F.trim("city_code") if "city_code" in rows.columns else F.lit(None).cast("string")
+    rows = _in_order(rows).withColumn("city_code", code)
+    rows = rows.withColumn("chome_number", F.when(F.col("kind") == "3", F.nullif(F.regexp_extract("town", "([0-9]+)丁目$", 1), F.lit("")).cast("int")))
     rows = checked(rows, (F.col("kind") != "3") | F.col("chome_number").isNotNull(), "a block without a number")
     key = F.concat("prefecture", "city", F.replace("town", F.lit("大字"), F.lit("")))
-    keyed = rows.withColumn("key", key).withColumn("town_key", F.regexp_replace(key, "[0-9]+丁目$", "")).withColumn("level", F.when(F.col("kind") == "3", "chome").otherwise("town"))
-    names = keyed.groupBy("key", "level").agg(F.min(F.struct("town", "town_key", "chome_number", "latitude", "longitude")).alias("r"), F.array_sort(F.collect_set("town")).alias("names"))
-    return names.select(
-        "key", "level", F.col("r.town_key").alias("town_key"), F.col("r.chome_number").alias("chome_number"),
-        F.col("r.latitude").cast("double").alias("latitude"), F.col("r.longitude").cast("double").alias("longitude"), F.array_remove("names", F.col("r.town")).alias("merged"),
+    block = F.col("kind") == "3"
+    keyed = rows.withColumn("key", key).withColumn("town_key", F.when(block, F.regexp_replace(key, "[0-9]+丁目$", "")).otherwise(key)).withColumn("level", F.when(block, "chome").otherwise("town"))
+    seen = Observation()
+    number = lambda c: F.col(c).try_cast("double")
+    keyed = keyed.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(block).alias("blocks"), F.count_if(~block).alias("towns"), F.count_if(number("latitude").isNull() | number("longitude").isNull()).alias("without_place")
+    )
+    first = F.struct("_place", "town", "town_key", "chome_number", "city_code", "latitude", "longitude")
+    names = keyed.groupBy("key", "level").agg(F.min(first).alias("r"), F.array_sort(F.collect_list(F.struct("_place", "town")))["town"].alias("names"))
+    found = names.select(
+        "key", "level", "r.city_code", "r.town_key", "r.chome_number", F.col("r.longitude").try_cast("double").alias("longitude"), F.col("r.latitude").try_cast("double").alias("latitude"),
+        F.lit(ADDRESS_SOURCE).alias("source"), F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))).alias("merged"),
     )
+    return found, seen
 
 
 HAZARDS = ("flood", "landslide", "landslide_special", "liquefaction")
@@ -63,15 +85,19 @@ def purchase_rates(spark: SparkSession, path: str) -> DataFrame:
     return checked(rows, F.col("rate_value").between(5_000, 20_000_000) & (F.col("sample_count") >= 10) & F.col("family").isin("MANSION_BUY", "KODATE_BUY"), "purchase rate out of range")
 
 
-def stations(spark: SparkSession, stations_path: str, lines_path: str, companies_path: str) -> tuple[DataFrame, DataFrame]:
-    """(operating stations with line and company, how many rows were left out by reason)."""
+def stations(spark: SparkSession, stations_path: str, lines_path: str, companies_path: str) -> tuple[DataFrame, Observation]:
+    """(operating stations with line and company; how many rows were left out by reason, counted in the same scan).
+
+    The observation (rows, closed_stations, closed_lines) has its values after the first action on the rows.
+    """
     s = csv(spark, stations_path, ["station_cd", "station_g_cd", "station_name", "line_cd", "pref_cd", "lon", "lat", "e_status"])
     lines = csv(spark, lines_path, ["line_cd", "line_name", "company_cd", "e_status"]).withColumnRenamed("e_status", "line_status")
     companies = csv(spark, companies_path, ["company_cd", "company_name"])
     whole = s.join(lines, "line_cd", "left").join(companies, "company_cd", "left")
-    open_ = (F.col("e_status") == "0") & (F.col("line_status") == "0")
-    skipped = whole.agg(F.count_if(F.col("e_status") != "0").alias("closed_stations"), F.count_if((F.col("e_status") == "0") & ~F.coalesce(F.col("line_status") == "0", F.lit(False))).alias("closed_lines"))
-    return whole.where(open_), skipped
+    open_line = F.coalesce(F.col("line_status") == "0", F.lit(False))
+    seen = Observation()
+    whole = whole.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("e_status") != "0").alias("closed_stations"), F.count_if((F.col("e_status") == "0") & ~open_line).alias("closed_lines"))
+    return whole.where((F.col("e_status") == "0") & open_line), seen
 
 
 def links(spark: SparkSession, path: str) -> DataFrame:

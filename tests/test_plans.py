@@ -61,9 +61,24 @@ def test_sources(spark, tmp_path):
     (tmp_path / "less.csv").write_text("normalized_key,level\na,chome\n")
     with pytest.raises(ValueError, match="columns missing"):
         masters.hazard_levels(spark, str(tmp_path / "less.csv"))
-    (tmp_path / "a.csv").write_text("prefecture,city,town,latitude,longitude,kind\nP,C,原町,1,2,1\nP,C,大字原町,1,2,1\nP,C,中央3丁目,3,4,3\n")
-    points = {r.key: (r.level, r.town_key, r.chome_number, r.merged) for r in masters.address_points(spark, str(tmp_path / "a.csv")).collect()}
-    assert points == {"PC原町": ("town", "PC原町", None, ["大字原町"]) if "原町" < "大字原町" else ("town", "PC原町", None, ["大字原町"]), "PC中央3丁目": ("chome", "PC中央", 3, [])}
+    (tmp_path / "a").mkdir()
+    head = "prefecture,city,town,latitude,longitude,kind,city_code\n"
+    (tmp_path / "a" / "1.csv").write_text(head + "P,C,大字原町,1,2,1,01\nP,C,原町,9,9,1,01\nP,C,中央3丁目,3,4,3,02\n")
+    (tmp_path / "a" / "2.csv").write_text(head + "P,C,原町,7,7,1,01\nP,C,坂4丁目,x,4,1,03\n")
+    found, seen = masters.address_points(spark, str(tmp_path / "a"))
+    points = {r.key: (r.level, r.city_code, r.town_key, r.chome_number, r.longitude, r.latitude, r.merged) for r in found.collect()}
+    # the first row of the first file counts, the others are named; a town keeps a name that ends like a block's
+    assert points == {"PC原町": ("town", "01", "PC原町", None, 2.0, 1.0, ["原町", "原町"]), "PC中央3丁目": ("chome", "02", "PC中央", 3, 4.0, 3.0, []), "PC坂4丁目": ("town", "03", "PC坂4丁目", None, 4.0, None, [])}
+    assert seen.get == {"rows": 5, "blocks": 1, "towns": 4, "without_place": 1}
+
+
+def test_stations_and_their_counts_come_from_one_scan(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("station_cd,station_g_cd,station_name,line_cd,pref_cd,lon,lat,e_status\n1,1,A,10,13,0,0,0\n2,2,B,10,13,0,0,2\n3,3,C,11,13,0,0,0\n4,4,D,99,13,0,0,0\n")
+    (tmp_path / "l.csv").write_text("line_cd,line_name,company_cd,e_status\n10,L,5,0\n11,M,5,1\n")
+    (tmp_path / "c.csv").write_text("company_cd,company_name\n5,K\n")
+    found, seen = masters.stations(spark, *(str(tmp_path / f"{x}.csv") for x in "slc"))
+    assert [(r.station_cd, r.line_name, r.company_name) for r in found.collect()] == [("1", "L", "K")]
+    assert seen.get == {"rows": 4, "closed_stations": 1, "closed_lines": 2}
 
 
 def test_synced(spark):
