@@ -41,7 +41,11 @@ def resolution(rows: DataFrame, site: str, value: str) -> DataFrame:
 
 def utility_report(rows: DataFrame, gas: str, yen: str, rank: str, top: int = 100) -> DataFrame:
     """By energy source: rows, share of all, median bill, mean rank, rows among the first `top`."""
-    made = rows.groupBy(gas).agg(F.count(F.lit(1)).alias("rows"), F.median(yen).alias("median_yen"), F.round(F.avg(rank), 2).alias("mean_rank"), F.count_if(F.col(rank) <= top).alias("in_top"))
+    made = rows.groupBy(gas).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(rank), 2).alias("mean_rank"), F.count_if(F.col(rank) <= top).alias("in_top"))
+    # bills are placed by ranges of values: no source's bills meet in one buffer
+    placed = stats.placed_values(rows.where(F.col(yen).isNotNull()).select(F.coalesce(F.col(gas).cast("string"), F.lit("")).alias("_g"), yen), ["_g"], yen)
+    middle = placed.groupBy("_g").agg(stats.interpolated(0.5, F.col(yen)).alias("median_yen"))
+    made = made.withColumn("_g", F.coalesce(F.col(gas).cast("string"), F.lit(""))).join(middle, "_g", "left").select(gas, "rows", "median_yen", "mean_rank", "in_top")
     total = rows.agg(F.count(F.lit(1)).alias("_all")).withColumn("_k", F.lit(1))
     return made.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").withColumn("share", F.round(F.col("rows") / F.col("_all"), 4)).drop("_k", "_all")
 

@@ -65,6 +65,11 @@ def upserted(stored: DataFrame, batch: DataFrame, keys: list[str], overwrite: li
     )
 
 
+def without_retyped(rows: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored features or scores without those of offers that start anew under another type: what was known of the old one is gone."""
+    return rows.join(after.where("relation = 'retype'").select(*keys), keys, "left_anti")
+
+
 def merged_maps(old: Column, new: Column) -> Column:
     """Shallow merge, the right side wins."""
     old, new = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))

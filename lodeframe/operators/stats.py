@@ -87,6 +87,21 @@ def coverage(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFram
     return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"has_{c}") for c in columns))
 
 
+def site_coverage(rows: DataFrame, site: str, features: DataFrame, columns: list[str], key: str = "listing_id") -> DataFrame:
+    """Per site: offers, offers with details, offers with features, their least, mean and largest number of features, and non-null values of each column.
+
+    Mean, least and most are over the offers that have features, 0 where none has: a site that is read but
+    not wired up has details and no features. rows: key, site, detail_fetched, columns; features: key, code.
+    """
+    per = features.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    joined = rows.select(key, site, "detail_fetched", *columns).join(per, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return joined.groupBy(site).agg(
+        F.count(F.lit(1)).alias("listings"), F.count_if("detail_fetched").alias("detail_fetched"), F.count("_n").alias("with_features"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("features_avg"),
+        zero(F.min("_n")).alias("features_min"), zero(F.max("_n")).alias("features_max"), *(F.count(c).alias(f"filled_{c}") for c in columns),
+    )
+
+
 def counted(rows: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """Counts by key, most frequent first if limited, ties by key."""
     made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import cities, digests
-from lodeframe.plans.frames import table
+from lodeframe.operators import cities, digests, origins, reports, stats
+from lodeframe.plans.frames import listings, table
 from lodeframe.plans.queries import query
 from lodeframe.plans.text_queries import spelt
-from lodeframe.sources import adapters, variants
+from lodeframe.sources import adapters, html, variants
 from lodeframe.sources.adapters import Adapter, Found
 from lodeframe.sources.stored import written
 
@@ -130,3 +130,84 @@ def designated_cities(spark, sf_dir):
 def prefecture_codes(spark, sf_dir):
     key = F.col("p_partkey") % 47
     return cities.indexed(table(spark, sf_dir, "part").select(spelt("M", key % 10, F.col("p_partkey")).alias("jis_code"), spelt("P", key).alias("prefecture")))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS cd, s_suppkey % 40 AS g, s_name || CASE WHEN s_suppkey % 3 = 0 THEN '前' ELSE '' END AS name, s_nationkey AS p FROM supplier),
+    first AS (SELECT g, min(cd) AS cd FROM s GROUP BY 1)
+    SELECT s.g AS station_g_cd, s.name AS station_name, n_name AS prefecture, (SELECT string_agg(name, '|' ORDER BY name) FROM s a WHERE a.g = s.g) AS names, s.name || '（' || n_name || '）' AS words
+    FROM s JOIN first ON s.cd = first.cd JOIN nation ON n_nationkey = s.p WHERE s.g IN (SELECT p_partkey % 60 FROM part)""",
+    offers=False,
+)
+def origin_stations(spark, sf_dir):
+    key = F.col("s_suppkey")
+    stations = table(spark, sf_dir, "supplier").select(key.alias("station_cd"), (key % 40).alias("station_g_cd"), F.concat("s_name", F.when(key % 3 == 0, "前").otherwise("")).alias("station_name"), F.col("s_nationkey").alias("pref_cd"))
+    prefectures = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pref_cd"), F.col("n_name").alias("prefecture"))
+    found = origins.origin_stations(stations, table(spark, sf_dir, "part").select((F.col("p_partkey") % 60).alias("station_g_cd")), prefectures)
+    words = origins.search_words(F.col("station_name"), F.col("prefecture"))
+    return found.select("station_g_cd", "station_name", "prefecture", F.array_join("alias_names", "|").alias("names"), words.alias("words"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 7 = 0 THEN 'station' WHEN l_linenumber = 2 THEN 'date' END AS fault FROM lineitem""",
+    offers=False,
+)
+def checked_routes(spark, sf_dir):
+    key = F.col("l_suppkey")
+    label = spelt("S", F.when(key % 7 == 0, key + 1).otherwise(key), F.when(key % 2 == 0, "駅").otherwise("(JR)"))
+    routes = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", key.alias("station_g_cd"), label.alias("origin_label"), F.lit("2025-01-01").alias("asked_on"), F.when(F.col("l_linenumber") != 2, "2025-01-01").otherwise("2025-01-02").alias("answered_on")
+    )
+    stations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station_g_cd"), F.array(spelt("S", F.col("s_suppkey"), "［地下］"), F.lit("other")).alias("alias_names"))
+    return origins.checked_routes(routes, stations).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fault")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT s_suppkey AS origin, s_nationkey AS minutes FROM supplier), m AS (SELECT DISTINCT l_suppkey AS origin FROM lineitem WHERE l_linenumber = 7 AND l_partkey % 100 = 0)
+    SELECT origin, minutes FROM e WHERE origin NOT IN (SELECT origin FROM m)""",
+    offers=False,
+)
+def kept_estimates(spark, sf_dir):
+    estimates = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("origin"), F.col("s_nationkey").alias("minutes")).distinct()
+    commutes = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("origin"), F.col("l_linenumber").alias("destination"), F.when(F.col("l_partkey") % 100 == 0, "timetable").otherwise("estimate").alias("source"))
+    return origins.kept_estimates(estimates, commutes, 7, "timetable")
+
+
+@query(""" SELECT DISTINCT site_id % 47 AS code FROM listings WHERE status = 'active' AND site_id % 47 < 25""")
+def segment_prefectures(spark, sf_dir):
+    offers = listings(spark, sf_dir).select("status", (F.col("site_id") % 47).cast("string").alias("prefecture"))
+    codes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("prefecture"), F.col("n_nationkey").cast("long").alias("code"))
+    return origins.segment_prefectures(offers, codes, None)
+
+
+@query(
+    """SELECT page_id, slug, slug AS label FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="/([A-Za-z]+)">', 1)) AS slug FROM pages)""",
+    offers=False,
+)
+def city_links(spark, sf_dir):
+    return html.city_links(table(spark, sf_dir, "pages"), "page_id", "html", r"^/([A-Za-z]+)$").select("page_id", "slug", "label")
+
+
+@query(
+    """ SELECT site_id, count(*) AS listings, count(*) FILTER (WHERE detail_fetched) AS detail_fetched, count(*) FILTER (WHERE feature_count > 0) AS with_features, round(coalesce(avg(feature_count) FILTER (WHERE feature_count > 0), 0), 6) AS features_avg,
+    CAST(coalesce(min(feature_count) FILTER (WHERE feature_count > 0), 0) AS BIGINT) AS features_min, CAST(coalesce(max(feature_count) FILTER (WHERE feature_count > 0), 0) AS BIGINT) AS features_max, count(price) AS filled_price, count(walk_minutes) AS filled_walk_minutes FROM listings GROUP BY 1"""
+)
+def site_coverage(spark, sf_dir):
+    offers = listings(spark, sf_dir)
+    features = offers.select("listing_id", F.explode("feature_codes").alias("code"))
+    return stats.site_coverage(offers, "site_id", features, ["price", "walk_minutes"]).withColumn("features_avg", F.round("features_avg", 6))
+
+
+@query(
+    """WITH r AS (SELECT o_orderpriority AS g, CASE WHEN o_custkey % 6 > 0 THEN o_totalprice / 1000 END AS ratio, CAST(floor(o_totalprice) AS BIGINT) * (o_custkey % 5) AS price, o_orderstatus <> 'P' AS passing FROM orders),
+    share AS (SELECT g, count(*) AS rows, count(ratio) / count(*) AS share FROM r GROUP BY 1),
+    known AS (SELECT * FROM r WHERE passing AND ratio IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY price) + (count(*) OVER (PARTITION BY g, price) - 1) / 2.0 - (row_number() OVER (PARTITION BY g, price ORDER BY ratio) - 1) AS r0,
+        rank() OVER (PARTITION BY g ORDER BY price) + (count(*) OVER (PARTITION BY g, price) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY g ORDER BY ratio) + (count(*) OVER (PARTITION BY g, ratio) - 1) / 2.0 AS rr FROM known)
+    SELECT g, rows, round(share, 6) AS share, share >= 0.8 AS enough, round(corr(rp, rr), 6) AS spearman, abs(corr(rp, rr)) <= 0.6 AS distinct_ FROM p JOIN share USING (g) GROUP BY g, rows, share""",
+    offers=False,
+)
+def market_statistics(spark, sf_dir):
+    k = F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.when(k % 6 > 0, F.col("o_totalprice") / 1000).alias("ratio"), (F.floor("o_totalprice") * (k % 5)).cast("double").alias("price"), (F.col("o_orderstatus") != "P").alias("passing"))
+    made = reports.market_report(rows, ["g"], "ratio", "price", F.col("passing"))
+    return made.select("g", "rows", F.round("share", 6).alias("share"), "enough", F.round("spearman", 6).alias("spearman"), F.col("distinct").alias("distinct_"))

@@ -19,6 +19,32 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)
 
 
+#: Characters before a link in which its check box may stand.
+BESIDE = 400
+
+
+def city_links(pages: DataFrame, key: str, html: str, slug: str, code: str = "[0-9]{5}") -> DataFrame:
+    """key, slug, code, label: the cities that the links of an index page lead to, each once.
+
+    slug: a pattern for link targets whose first group is the city's slug; others are no cities. The code stands
+    in the link's tag, else in the last check box before it; the last code and the last label that aren't
+    empty count, since pages name a city several times.
+    """
+    # what stands before an end of a link, whose beginning is the last one in it: linear in the page
+    pieces = F.split(F.regexp_replace(html, r"<a\s+", "<a "), "</a>")
+    pieces = F.filter(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p.contains("<a "))
+    rows = pages.select(key, F.posexplode(pieces).alias("_n", "_p"))
+    link = F.substring_index("_p", "<a ", -1)
+    tag, inside = F.substring_index(link, ">", 1), F.substring(link, F.instr(link, ">") + 1, F.length(link))
+    before = F.right(F.left("_p", F.length("_p") - F.length(link) - 3), F.lit(BESIDE))
+    named = F.nullif(F.regexp_extract(tag, f'(?:data-|value=|code=|id=)[^>]*?({code})', 1), F.lit(""))
+    box = F.nullif(F.regexp_extract(before, f'(?s)^.*<input[^>]*value="({code})"', 1), F.lit(""))
+    target = F.regexp_extract(F.regexp_extract(tag, 'href="([^"]*)"', 1), slug, 1)
+    made = rows.select(key, "_n", F.nullif(target, F.lit("")).alias("slug"), F.coalesce(named, box).alias("_code"), F.nullif(stripped(inside), F.lit("")).alias("_label"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("_n", c)))[c]
+    return made.where("slug is not null").groupBy(key, "slug").agg(last("_code").alias("code"), F.coalesce(last("_label"), F.lit("")).alias("label"))
+
+
 class _Tables(HTMLParser):
     """Rows of cell texts for every table."""
 

@@ -122,6 +122,21 @@ def appended(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def seeded(spark: SparkSession, folder: str, path: str, tables: dict[str, tuple[list[str], int]]) -> dict[str, int]:
+    """Writes the seed files folder/<table>*.csv as whole tables under path; table -> (columns, least rows) gives the rows of each.
+
+    All files are read and counted before the first table is written: a missing column, or fewer rows than
+    expected, is an error that leaves every table as it was. Running it again gives the same tables.
+    """
+    found = {name: csv(spark, f"{folder}/{name}*.csv", columns) for name, (columns, _) in tables.items()}
+    counts = {name: rows.count() for name, rows in found.items()}
+    if few := {name: n for name, n in counts.items() if n < tables[name][1]}:
+        raise ValueError(f"fewer rows than expected: {few}")
+    for name, rows in found.items():
+        replaced(rows, f"{path}/{name}")
+    return counts
+
+
 def synced(stored: DataFrame, fresh: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
     """(table after upsert and removal of what is gone, counts of inserted, updated, removed)."""
     a = stored.select(*keys, F.struct(*values).alias("_old"))
