@@ -120,24 +120,24 @@ def top(scores: DataFrame, most: int) -> DataFrame:
 def ranked(scores: DataFrame, pattern: list[str], eligible: Column) -> DataFrame:
     """rank (long) by score, then listing_id, among eligible rows of a pattern; null for the others.
 
-    Scores are stored once. Their keys are sorted by ranges, and a rank is a place within a range plus
-    the sizes of the ranges before it, so no score and no pattern is ever sorted by one task.
+    Scores are stored once. Eligible rows are sorted by ranges, and a rank is a place within a range plus the
+    sizes of the ranges before it, so no score and no pattern is ever sorted by one task. Rows travel whole
+    in that one shuffle: nothing is joined back.
     """
     stored = written(scores.withColumn("_eligible", F.coalesce(eligible, F.lit(False))))
-    keys = [*pattern, "score", "listing_id"]
     order = [*(F.col(k) for k in pattern), F.desc("score"), F.col("listing_id")]
     parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored.where("_eligible").select(*keys).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stored.where("_eligible").drop("_eligible").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = written(placed.withColumn("_at", F.monotonically_increasing_id()))  # range * 2^33 + place within it
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    index = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*keys, (F.col("_before") + place).alias("_index"))
+    index = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("_index", F.col("_before") + place)
     if pattern:
         starts = index.groupBy(*pattern).agg(F.min("_index").alias("_start"))  # a row for each pattern
-        index = index.join(F.broadcast(starts), pattern)
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in pattern]
+        index = index.join(F.broadcast(starts.select(*(F.col(k).alias(f"_{k}") for k in pattern), "_start")), same)
     else:
         index = index.withColumn("_start", F.lit(0))
-    ranks = index.select(*pattern, "listing_id", (F.col("_index") - F.col("_start") + 1).alias("_rank"))
-    joined = stored.join(ranks, [*pattern, "listing_id"], "left")
-    return joined.select(*scores.columns, F.when(F.col("_eligible"), F.col("_rank")).cast("long").alias("rank"))
+    ranks = index.select(*scores.columns, (F.col("_index") - F.col("_start") + 1).cast("long").alias("rank"))
+    return ranks.unionByName(stored.where("not _eligible").select(*scores.columns, F.lit(None).cast("long").alias("rank")))

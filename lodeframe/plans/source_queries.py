@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeframe.operators import cities, digests, origins, reports, stats
+from lodeframe.functions import numbers
+from lodeframe.operators import cities, digests, origins, reports, stats, views
 from lodeframe.plans.frames import listings, table
 from lodeframe.plans.queries import query
 from lodeframe.plans.text_queries import spelt
@@ -211,3 +212,28 @@ def market_statistics(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.when(k % 6 > 0, F.col("o_totalprice") / 1000).alias("ratio"), (F.floor("o_totalprice") * (k % 5)).cast("double").alias("price"), (F.col("o_orderstatus") != "P").alias("passing"))
     made = reports.market_report(rows, ["g"], "ratio", "price", F.col("passing"))
     return made.select("g", "rows", F.round("share", 6).alias("share"), "enough", F.round("spearman", 6).alias("spearman"), F.col("distinct").alias("distinct_"))
+
+
+@query(
+    """, gk AS (SELECT *, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk,
+        CASE WHEN site_id % 5 = 0 THEN '借地権' WHEN site_id % 5 < 3 THEN '所有権' WHEN site_id % 5 = 3 THEN 'unread' END AS rights,
+        CASE WHEN order_id % 6 = 0 THEN '付き' WHEN order_id % 6 = 1 THEN '-' END AS raw, CASE WHEN order_id % 6 = 1 THEN true WHEN order_id % 6 = 2 THEN false END AS saved FROM listings),
+    com AS (SELECT s_suppkey % 50 AS st, max(s_nationkey) + 10 AS ride FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
+    one AS (SELECT gk, site_id % 50 AS st, min('St' || site_id % 50) AS name, min(CASE WHEN unit_id % 6 <> 0 THEN unit_id % 15 + 1 END) AS walk FROM gk WHERE order_id % 9 <> 0 GROUP BY 1, 2),
+    stations AS (SELECT gk, string_agg(name || ':' || coalesce(CAST(walk AS VARCHAR), '-') || ':' || coalesce(CAST(ride AS VARCHAR), '-'), ' ' ORDER BY walk NULLS LAST, name, st) AS stations FROM one LEFT JOIN com USING (st) GROUP BY 1),
+    known AS (SELECT gk, CASE WHEN bool_or(rights = '借地権') THEN true WHEN bool_or(rights = '所有権') THEN false END AS leasehold,
+        CASE WHEN bool_or(CASE WHEN raw IS NOT NULL THEN raw = '付き' ELSE saved END) THEN true WHEN bool_or(CASE WHEN raw IS NOT NULL THEN raw = '-' ELSE NOT saved END) THEN false END AS build_condition,
+        bool_or(city_gas) AS c, bool_or(lpg) AS l, bool_or(electric) AS e FROM gk GROUP BY 1)
+    SELECT listing_id, stations, leasehold, build_condition, CASE WHEN c AND l THEN 'unknown' WHEN c THEN 'city' WHEN l THEN 'lpg' WHEN e THEN 'electric' ELSE 'unknown' END AS gas FROM gk JOIN known USING (gk) LEFT JOIN stations USING (gk)"""
+)
+def group_knowledge(spark, sf_dir):
+    site, order = F.col("site_id") % 5, F.col("order_id") % 6
+    rights = F.when(site == 0, "借地権").when(site < 3, "所有権").when(site == 3, "unread")
+    raw, saved = F.when(order == 0, "付き").when(order == 1, "-"), F.when(order == 1, "true").when(order == 2, "false")
+    offers = listings(spark, sf_dir).withColumn("attributes", F.create_map(F.lit("rights"), rights, F.lit("raw"), raw, F.lit("saved"), saved))
+    station = F.col("site_id") % 50
+    near = offers.select("listing_id", station.alias("station_g_cd"), spelt("St", station).alias("name"), F.when(F.col("unit_id") % 6 != 0, F.col("unit_id") % 15 + 1).alias("walk"), F.when(F.col("order_id") % 9 != 0, "matched").otherwise("unmatched").alias("status"))
+    commutes = table(spark, sf_dir, "supplier").where("s_acctbal > 0").groupBy((F.col("s_suppkey") % 50).alias("station_g_cd")).agg((F.max("s_nationkey") + 10).alias("ride"))
+    known = views.with_group_knowledge(offers.select("listing_id"), offers, near, commutes, ["rights"], "raw", "saved", numbers.estimated_utility(F.col("feature_codes"), 2, 0.3))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return known.select("listing_id", F.array_join(F.transform("stations", lambda x: F.concat(x["name"], F.lit(":"), text(x["walk"]), F.lit(":"), text(x["ride"]))), " ").alias("stations"), "leasehold", "build_condition", "utility.gas")

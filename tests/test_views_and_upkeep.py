@@ -85,3 +85,21 @@ def test_city_fallback_is_unique_in_scope(spark):
     texts = frame(spark, "a string", [("Q県大市北区1",), ("Q県町",), ("北区1",), ("南区2",), ("ケ市",), (None,)])
     found = {r.a: (r.prefecture, r.city_id) for r in views.resolved_city(texts, cities, "a", ["P県", "Q県"]).collect()}
     assert found == {"Q県大市北区1": ("Q県", 3), "Q県町": ("Q県", None), "北区1": (None, None), "南区2": (None, None), "ケ市": ("Q県", 5), None: (None, None)}
+
+
+def test_what_a_group_knows_comes_from_all_its_members(spark):
+    none = "cast(null as string)"
+    offers = spark.range(5).selectExpr(
+        "id as listing_id", "case when id < 3 then 'home' end as dedup_key", "case id when 0 then array('GAS_CITY') when 1 then array('STOVE_IH') else array() end as feature_codes",
+        f"map('rights', case id when 0 then '所有権' when 2 then '一部借地権' when 3 then '所有権' else {none} end, 'raw', case id when 0 then '-' when 1 then '?' else {none} end, 'saved', case id when 1 then 'true' when 2 then 'false' when 4 then 'true' else {none} end) as attributes",
+    )
+    near = spark.createDataFrame(
+        [(0, 7, "B", None, "matched"), (1, 7, "A", 9, "matched"), (2, 8, "C", 3, "matched"), (2, 9, "Bus", 1, "unmatched"), (3, 8, "C", None, "matched")], "listing_id long, station_g_cd int, name string, walk int, status string"
+    )
+    commutes = spark.createDataFrame([(8, 30), (8, 40)], "station_g_cd int, ride int")
+    made = views.with_group_knowledge(offers.select("listing_id"), offers, near, commutes, ["rights"], "raw", "saved", F.array_join("feature_codes", "+"))
+    got = {r["listing_id"]: (r["leasehold"], r["build_condition"], [tuple(s) for s in r["stations"] or []], r["utility"]) for r in made.collect()}
+    # one lease is a lease; a member's text counts before its own stored flag; a station once, nearest first
+    home = (True, False, [(8, "C", 3, 40), (7, "A", 9, None)], "GAS_CITY+STOVE_IH")
+    assert got[0] == got[1] == got[2] == home
+    assert got[3] == (False, None, [(8, "C", None, 40)], "") and got[4] == (None, True, [], "")
