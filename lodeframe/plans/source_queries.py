@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeframe.functions import numbers
 from lodeframe.operators import cities, digests, origins, reports, stats, views
+from lodeframe.plans import catalog
 from lodeframe.plans.frames import listings, table
 from lodeframe.plans.queries import query
 from lodeframe.plans.text_queries import spelt
@@ -237,3 +241,24 @@ def group_knowledge(spark, sf_dir):
     known = views.with_group_knowledge(offers.select("listing_id"), offers, near, commutes, ["rights"], "raw", "saved", numbers.estimated_utility(F.col("feature_codes"), 2, 0.3))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     return known.select("listing_id", F.array_join(F.transform("stations", lambda x: F.concat(x["name"], F.lit(":"), text(x["walk"]), F.lit(":"), text(x["ride"]))), " ").alias("stations"), "leasehold", "build_condition", "utility.gas")
+
+
+FILES = {
+    "a.yaml": "name: small\nproperty_type: CHINTAI\nmust: {rent_total_max: 40000}\nwant: {numeric: [{metric: rent_total, weight: 10, best: 10000, worst: 60000}]}\n",
+    "b.yaml": "name: wide\nproperty_type: CHUKO_MANSION\nmust: {area_min: 20}\nwant: {features: [{code: STOVE_IH, weight: 10}]}\n",
+}
+
+
+@query(
+    """, small AS (SELECT *, coalesce('g:' || dedup_key, 'l:' || listing_id) AS gk FROM listings WHERE property_family IN ('CHINTAI', 'MANSION_BUY')),
+    reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY rent_total IS NULL AND price IS NULL, coalesce(rent_total, price), feature_count DESC, site_priority, listing_id) AS n FROM small WHERE status = 'active' OR dedup_key IS NULL) WHERE n = 1),
+    s AS (SELECT 'small' AS pattern, listing_id, CASE WHEN rent_total IS NULL THEN 0.0 ELSE round(greatest(least((60000 - rent_total) / 50000.0, 1.0), 0.0) * 10 * 100 / 10, 3) END AS score, CASE WHEN rent_total IS NULL THEN 'unknown' WHEN rent_total <= 40000 THEN 'pass' ELSE 'fail' END AS must FROM reps WHERE property_family = 'CHINTAI'
+        UNION ALL SELECT 'wide', listing_id, CASE WHEN ih AND detail_fetched THEN 100.0 ELSE 0.0 END, CASE WHEN area_sqm >= 20 THEN 'pass' ELSE 'fail' END FROM reps WHERE property_family = 'MANSION_BUY')
+    SELECT pattern, must, count(*) AS n, round(sum(score), 1) AS total FROM s GROUP BY ALL"""
+)
+def rescored_patterns(spark, sf_dir):
+    folder = Path(tempfile.mkdtemp(prefix="spark-patterns-"))  # configuration that only the driver reads
+    for name, body in FILES.items():
+        (folder / name).write_text(body)
+    made = catalog.rescored(listings(spark, sf_dir), catalog.load(str(folder)))
+    return made.groupBy("pattern", "must").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 1).alias("total"))
