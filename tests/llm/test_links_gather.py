@@ -116,7 +116,7 @@ def test_no_python_worker_is_needed(tmp_path):
         f"s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
         "from lodeframe.llm import sharding\n"
         "d = s.read.parquet('/root/testdata/sf0.001/documents.parquet').select('doc_id', 'text')\n"
-        "d = d.unionByName(d.limit(60)).unionByName(s.range(150).selectExpr('id + 1000', \"'same'\"))\n"
+        "d = d.unionByName(d.limit(60)).unionByName(s.range(150).selectExpr('id + 1000 as doc_id', \"'same' as text\"))\n"
         "print('rows', sharding.sharded(d, 5).count())\n"
     )
     run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYSPARK_PYTHON": "/bin/false", "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, timeout=280)
