@@ -5,7 +5,7 @@ from lodeframe.llm.queries import ORACLE, QUERIES
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
