@@ -41,6 +41,8 @@ LENGTHS, BUCKETS, SHARED, TEMPER = (1, 2, 3, 4), 1 << 16, 0.02, 0.3
 SWITCH, WORD_TELLS, USES = 9.0, 6.0, 0.01
 #: Characters read at once; letters of a word in scripts without spaces.
 PIECE, UNSPACED_WORD = 1 << 20, 4
+#: Characters of the texts whose words are held at once (a longer text by itself).
+HELD = 1 << 22
 #: Score of a language that isn't written in the word's script.
 NARROWED = -1e4
 UND = "und"
@@ -286,6 +288,18 @@ def read_texts(texts: list[str], model: Model, switch: float = SWITCH) -> list[t
     return out
 
 
+def portions(texts: list[str], most: int = HELD) -> Iterator[list[str]]:
+    """The texts in turn, as many at once as have about that many characters."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > most:
+            yield texts[first:k]
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield texts[first:]
+
+
 def counted(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, buckets, counts) of the n-grams, and with n = 0 the letters by script."""
     for part in pieces(texts):
@@ -358,7 +372,8 @@ def labelled(documents: DataFrame, model: Model, switch: float = SWITCH) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = read_texts([x or "" for x in batch.column(at).to_pylist()], shared.value, switch)
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            found = [one for part in portions(texts) for one in read_texts(part, shared.value, switch)]
             more = [pa.array([x[0] for x in found], spans), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "spans", "lang_pred", "score"])
 

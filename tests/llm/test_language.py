@@ -93,6 +93,13 @@ def test_long_texts_are_read_whole(model, monkeypatch):
     assert whole[0][1] == "de" and [s["lang"] for s in whole[0][0]] == ["en", "de"]
 
 
+def test_portions_hold_every_text_once():
+    for texts in ([], ["a"], ["aaaa", "b", "cc", "ddddd", "e"], ["", ""], ["x" * 9]):
+        parts = list(language.portions(texts, 4))
+        assert [x for part in parts for x in part] == texts
+        assert all(len(part) == 1 or sum(map(len, part)) <= 4 for part in parts)
+
+
 def test_odd_rows(spark):
     extra = [(900, None, "en"), (901, "", None), (902, "123 !?", "en"), (903, "the dog", None), (903, "the dog", None), (None, "der hund", "de"), (904, "ગુજરાતી", None), (905, "the " * 50000, None)]
     got = {}
