@@ -17,13 +17,16 @@ def looked_up(names: DataFrame, stations: DataFrame, keys: list[str]) -> DataFra
     stations: station_g_cd, station_name, prefecture. Of the name and its variants the first that has one group decides.
     """
     tried = names.select(*keys, "prefecture", F.posexplode(F.flatten(F.transform(text.without_note(F.col("name")), variants))).alias("_order", "_v"))
-    groups = stations.groupBy(station_key(F.col("station_name")).alias("_key")).agg(F.collect_set(F.struct("prefecture", "station_g_cd")).alias("_g"))
-    found = tried.withColumn("_key", station_key(F.col("_v"))).join(groups, "_key", "left")
-    codes = lambda rows: F.array_distinct(F.transform(rows, lambda x: x["station_g_cd"]))
-    own = codes(F.filter("_g", lambda x: x["prefecture"] == F.col("prefecture")))
-    chosen = F.when(F.size(own) > 0, own).otherwise(codes(F.col("_g")))
-    one = F.when(F.size(chosen) == 1, F.struct("_order", F.get(chosen, F.lit(0)).alias("g")))
-    best = found.groupBy(*keys).agg(F.min(one).alias("b"), F.bool_or(F.coalesce(F.size(chosen) > 1, F.lit(False))).alias("_many"))
+    # a name's groups are counted, not listed: a name that many stations share is one row, whatever their number
+    counts = lambda rows, *by: rows.groupBy(*by).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.bool_or("_void").alias("_void"))
+    code = F.col("station_g_cd")
+    own = counts(stations.select(station_key(F.col("station_name")).alias("_key"), "prefecture", code.alias("_lo"), code.alias("_hi"), code.isNull().alias("_void")), "_key", "prefecture")
+    number = F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") == F.col("_hi"), 1).otherwise(2) + F.col("_void").cast("int")
+    of = lambda rows, name: rows.select(*(c for c in ("_key", "prefecture") if c in rows.columns), F.struct(number.alias("n"), F.col("_lo").alias("g")).alias(name))
+    found = tried.withColumn("_key", station_key(F.col("_v"))).join(of(own, "_own"), ["_key", "prefecture"], "left").join(of(counts(own, "_key"), "_all"), "_key", "left")
+    found = found.withColumn("_chosen", F.coalesce("_own", "_all"))
+    one = F.when(F.col("_chosen.n") == 1, F.struct("_order", F.col("_chosen.g").alias("g")))
+    best = found.groupBy(*keys).agg(F.min(one).alias("b"), F.bool_or(F.coalesce(F.col("_chosen.n") > 1, F.lit(False))).alias("_many"))
     status = F.when(F.col("b").isNotNull(), "matched").when(F.col("_many"), "ambiguous").otherwise("unmatched")
     return best.select(*keys, F.col("b.g").alias("station_g_cd"), status.alias("status"))
 

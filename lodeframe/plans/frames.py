@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt evenly to twice as many tasks as there are cores: a table of few row groups is read by few tasks, which then do all dear work on its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def listing_id():
     """Order, line, part and supplier in one number: lines of the test tables repeat within an order."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
