@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import numbers, text
 from lodeframe.operators import address, features, must, reports, stations, want
-from lodeframe.plans.frames import listings, table
+from lodeframe.plans.frames import listings, spread, table
 from lodeframe.plans.queries import FEATURES, MUST_SQL, NUMERICS, SCORE_SQL, query
 from lodeframe.sources import html, masters
 from lodeframe.sources.robots import Robots
@@ -82,7 +82,8 @@ def parse_sizes(spark, sf_dir):
 )
 def parse_dates(spark, sf_dir):
     at = text.built_on(spelt(F.year("o_orderdate"), "年", F.month("o_orderdate"), "月築"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", at.cast("string").alias("built"), text.full_years(at, F.lit("1998-06-15").cast("date")).alias("years"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", at.alias("at"))  # read once, referred to several times
+    return rows.select("o_orderkey", F.col("at").cast("string").alias("built"), text.full_years(F.col("at"), F.lit("1998-06-15").cast("date")).alias("years"))
 
 
 @query(

@@ -22,3 +22,10 @@ def test_stations_of_one_name_are_counted_not_listed(spark, capsys):
     made = upkeep.looked_up(names, stations, ["id"])
     assert {r.id: (r.station_g_cd, r.status) for r in made.collect()} == {1: (None, "ambiguous"), 2: (91, "matched"), 3: (None, "ambiguous"), 4: (None, "unmatched"), 5: (None, "matched"), 6: (None, "ambiguous")}
     assert "collect_" not in plan(capsys, made)
+
+
+def test_a_date_is_read_by_two_patterns(spark, capsys):
+    rows = spark.createDataFrame([("1799年1月",), ("1800年1月",), ("2200年12月",), ("2201年1月",), ("12000年5月",), ("2000年0月",), ("2000 年 3",)], "t string")
+    made = rows.select(text.built_on(F.col("t")).cast("string").alias("d"))
+    assert [r.d for r in made.collect()] == [None, "1800-01-01", "2200-12-01", None, "2000-05-01", None, "2000-03-01"]
+    assert plan(capsys, made).split("== Physical Plan ==")[1].count("regexp_extract") == 2
