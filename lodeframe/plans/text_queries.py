@@ -202,7 +202,7 @@ def html_rates(spark, sf_dir):
     n = F.col("p_size")
     cells = spelt("<tr><td>ワンルーム</td><td> ", F.round(n / 10, 1), "万円</td></tr><tr><td>2ＬＤＫ</td><td>", F.round(n / 5, 1), "万円</td></tr>")
     page = spelt("<table><tr><td>地図</td></tr></table><table><tr><th>間取り</th><th>", F.when(n % 10 == 0, "駐車場").otherwise("家賃相場"), "</th></tr>", cells, "</table>")
-    rows = html.table_rows(table(spark, sf_dir, "part").select("p_partkey", page.alias("html")), "p_partkey", "html", ("間取り", "家賃相場"))
+    rows = html.table_rows(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", page.alias("html")), "p_partkey", "html", ("間取り", "家賃相場"))
     return html.rates(rows, "p_partkey")
 
 

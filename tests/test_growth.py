@@ -29,3 +29,8 @@ def test_a_date_is_read_by_two_patterns(spark, capsys):
     made = rows.select(text.built_on(F.col("t")).cast("string").alias("d"))
     assert [r.d for r in made.collect()] == [None, "1800-01-01", "2200-12-01", None, "2000-05-01", None, "2000-03-01"]
     assert plan(capsys, made).split("== Physical Plan ==")[1].count("regexp_extract") == 2
+
+
+@pytest.mark.parametrize("name", ["html_rates", "parse_dates"])
+def test_a_table_of_one_row_group_is_dealt_to_all_tasks(spark, capsys, name):
+    assert "RoundRobinPartitioning" in plan(capsys, QUERIES[name](spark, SMALL))
