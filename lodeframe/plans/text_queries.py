@@ -175,7 +175,7 @@ def station_words(spark, sf_dir):
     n = F.col("c_custkey")
     found = stations.read(spelt("Ａ線 「駅前", n, "」駅 徒歩", n % 30 + 1, "分 / 港町", n, "駅 バス9分 (バス停)橋 歩1分"))
     walk = F.element_at(found["walks"], spelt("駅前", n))
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select(n)).select(
         n, F.upper(address.station_key(spelt("S・", n % 50, "之〈南〉駅"))).alias("station"), address.city_key(spelt("ヶ", n, "之")).alias("city"), walk.alias("walk"),
         F.element_at(stations.variants(spelt("徒歩5分新線W", n, "x")), -1).alias("alone"),
     )

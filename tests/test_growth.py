@@ -31,6 +31,6 @@ def test_a_date_is_read_by_two_patterns(spark, capsys):
     assert plan(capsys, made).split("== Physical Plan ==")[1].count("regexp_extract") == 2
 
 
-@pytest.mark.parametrize("name", ["html_rates", "parse_dates"])
+@pytest.mark.parametrize("name", ["html_rates", "parse_dates", "station_words", "station_lookup"])
 def test_a_table_of_one_row_group_is_dealt_to_all_tasks(spark, capsys, name):
     assert "RoundRobinPartitioning" in plan(capsys, QUERIES[name](spark, SMALL))
