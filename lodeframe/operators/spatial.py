@@ -16,6 +16,7 @@ finite are ignored; a polygon without area has none in common with anything and
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeframe.sources.stored import written
 
@@ -30,6 +32,8 @@ POINT = "struct<x: double, y: double>"
 RINGS = f"array<array<{POINT}>>"
 #: Edges in a cell before it is split, levels below the first grid, entries of a matrix at once.
 LIMIT, DEEPER, MATRIX = 2000, 10, 1 << 21
+#: Unions in one batch of results.
+BATCH = 1000
 CELL = ("level", "cx", "cy")
 
 
@@ -189,13 +193,20 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("rings")
         keep, raw, bounds = [], [], []
-        for k, rings in enumerate(batch.column(at).to_pylist()):
+        polygons = batch.column(at)
+        rings = polygons.values
+        points = rings.values
+        xy = np.stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)], axis=1).reshape(-1, 2)
+        finite = np.isfinite(xy).all(axis=1) & points.is_valid().to_numpy(zero_copy_only=False)
+        starts, ends, there, real = polygons.offsets.to_pylist(), rings.offsets.to_pylist(), polygons.is_valid().to_pylist(), rings.is_valid().to_pylist()
+        for k in range(len(polygons)):
             good = []
-            for ring in rings or []:
-                points = np.array([(p["x"], p["y"]) for p in ring or [] if p and p["x"] is not None and p["y"] is not None], float).reshape(-1, 2)
-                points = points[np.isfinite(points).all(axis=1)]
-                if len(points) >= 3:
-                    good.append(points)
+            for n in range(starts[k], starts[k + 1]) if there[k] else ():
+                if real[n] and ends[n + 1] - ends[n] >= 3:
+                    ring, fine = xy[ends[n] : ends[n + 1]], finite[ends[n] : ends[n + 1]]
+                    ring = ring if fine.all() else ring[fine]
+                    if len(ring) >= 3:
+                        good.append(ring)
             if good:
                 every = np.concatenate(good)
                 keep.append(k)
@@ -226,13 +237,16 @@ def _cut(x0: float, y0: float, size: float, level: int | None, per_cell: bool):
                 now = before + 1 if per_cell else level
                 width = size / 2**now
                 every = np.concatenate(rings)
-                for cx in _cells(every[:, 0].min(), every[:, 0].max(), x0, width):
-                    column = strip(rings, 0, x0 + cx * width, x0 + (cx + 1) * width)
+                (x1, y1), (x2, y2) = every.min(axis=0).tolist(), every.max(axis=0).tolist()
+                columns = _cells(x1, x2, x0, width)
+                for cx in columns:
+                    whole = len(columns) == 1 and len(_cells(y1, y2, y0, width)) == 1  # within one cell: nothing to clip
+                    column = [r for r in rings if (r.max(axis=0) > r.min(axis=0)).all()] if whole else strip(rings, 0, x0 + cx * width, x0 + (cx + 1) * width)
                     if not column:
                         continue
                     tall = np.concatenate(column)
                     for cy in _cells(tall[:, 1].min(), tall[:, 1].max(), y0, width):
-                        piece = strip(column, 1, y0 + cy * width, y0 + (cy + 1) * width)
+                        piece = column if whole else strip(column, 1, y0 + cy * width, y0 + (cy + 1) * width)
                         if piece:
                             here = np.concatenate(piece)
                             middle = x0 + (cx + 0.5) * width, y0 + (cy + 0.5) * width
@@ -250,20 +264,33 @@ def _columns(frame: DataFrame, *without: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name not in without)
 
 
+def _width(wide: float, high: float, cells: float) -> float:
+    """Width of the first grid's cells, a power of two: that many cells lie in the bounds, however long and narrow these are."""
+    longest = max(wide, high) or 1.0
+    wanted = longest if cells <= 1 else max(math.sqrt(wide * high / cells), longest / 2**14)
+    return 2.0 ** (math.ceil if cells <= 1 else math.floor)(math.log2(wanted))
+
+
+def _spread(polygons: DataFrame) -> DataFrame:
+    """Polygons dealt evenly to all cores: few row groups would leave all clipping to few tasks."""
+    spark = polygons.sparkSession
+    return polygons.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def gridded(polygons: DataFrame, limit: int = LIMIT, deeper: int = DEEPER, both: bool = False) -> DataFrame:
     """polygons (..., rings) -> pieces (..., level, cx, cy, edges, spread, raw) in cells of at most `limit` edges, where splitting helps.
 
     both: polygons have a boolean column `second`; cells with pieces of one kind alone are dropped.
     """
     rest = _columns(polygons, "rings")
-    shapes = written(polygons.mapInArrow(_raw, f"{rest}, raw binary, x1 double, y1 double, x2 double, y2 double"))
+    shapes = written(_spread(polygons).mapInArrow(_raw, f"{rest}, raw binary, x1 double, y1 double, x2 double, y2 double"))
     bounds = shapes.agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("x1", "y1")), *(F.max(c).alias(c) for c in ("x2", "y2")), F.sum(F.octet_length("raw")).alias("b")).first()
     schema = f"{rest}, level int, cx long, cy long, edges long, spread int, raw binary"
     if not bounds["n"]:
         return shapes.drop("x1", "y1", "x2", "y2").mapInArrow(lambda batches: iter(()), schema)
-    size = max(bounds["x2"] - bounds["x1"], bounds["y2"] - bounds["y1"]) or 1.0
-    first = min(14, max(0, math.ceil(math.log(max(1.0, bounds["b"] / 16 / limit), 4))))
-    pieces = written(shapes.mapInArrow(_cut(bounds["x1"], bounds["y1"], size, first, False), schema))
+    size = _width(bounds["x2"] - bounds["x1"], bounds["y2"] - bounds["y1"], bounds["b"] / 16 / limit)
+    x0, y0 = (math.floor(bounds[c] / size) * size for c in ("x1", "y1"))
+    pieces = written(shapes.mapInArrow(_cut(x0, y0, size, 0, False), schema))
     for _ in range(deeper):
         cells = pieces.groupBy(*CELL).agg((F.when(F.avg("spread") < 2, F.sum("edges")).otherwise(0)).alias("_all"), *([F.count_if("second").alias("_b"), F.count_if(~F.col("second")).alias("_a")] if both else []))
         if both:
@@ -273,7 +300,7 @@ def gridded(polygons: DataFrame, limit: int = LIMIT, deeper: int = DEEPER, both:
         if crowded.isEmpty():
             break
         dense = pieces.join(crowded, list(CELL), "left_semi").select(*pieces.columns)
-        cut = dense.mapInArrow(_cut(bounds["x1"], bounds["y1"], size, None, True), schema)
+        cut = dense.mapInArrow(_cut(x0, y0, size, None, True), schema)
         calm = cells.where(F.col("_all") <= limit).select(*CELL)
         pieces = written(pieces.join(calm, list(CELL), "left_semi").select(*pieces.columns).unionByName(cut))
     return pieces
@@ -305,11 +332,12 @@ def _overlaps(key: str, by: list[str]):
             members.setdefault(names[k], []).append(k)
         left, right, areas = [], [], []
         others = np.flatnonzero(second)
-        for mine in members.values():
-            for other in others.tolist():
-                near = [k for k in mine if (box[k, :2] < box[other, 2:]).all() and (box[other, :2] < box[k, 2:]).all()]
-                if near and (found := common_area([shapes[k] for k in near], shapes[other])) > 0:
-                    left.append(mine[0])
+        for mine in map(np.array, members.values()):
+            near = (box[mine, None, :2] < box[None, others, 2:]).all(axis=2) & (box[None, others, :2] < box[mine, None, 2:]).all(axis=2)
+            for n in np.flatnonzero(near.any(axis=0)).tolist():
+                other = int(others[n])
+                if (found := common_area([shapes[k] for k in mine[near[:, n]].tolist()], shapes[other])) > 0:
+                    left.append(int(mine[0]))
                     right.append(other)
                     areas.append(found)
         taken = [table[key].take(pa.array(left, pa.int64())), *(table[c].take(pa.array(right, pa.int64())) for c in by)]
@@ -332,28 +360,50 @@ def overlap_areas(keyed: DataFrame, shapes: DataFrame, key: str, by: list[str],
     return found.groupBy(key, *by).agg(F.sum("area").alias("area"))
 
 
-def _united(key: str):
+def _united(key: str, kind: pa.DataType, shapes: bool):
+    """Unions of pieces that come sorted by key and cell: one stream of many keys, since most keys have a few pieces only."""
     schema = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
-    def run(group: tuple, table: pa.Table) -> pa.Table:
-        rings = union_rings([unpacked(x) for x in table["raw"].to_pylist()])
-        # half the cross product of the diagonals
-        total = sum(abs((r[2, 0] - r[0, 0]) * (r[3, 1] - r[1, 1]) - (r[2, 1] - r[0, 1]) * (r[3, 0] - r[1, 0])) / 2 for r in rings)
-        points = [[{"x": x, "y": y} for x, y in r.tolist()] for r in rings]
-        return pa.table([pa.array([group[0].as_py()], table[key].type), pa.array([points], schema), pa.array([total], pa.float64())], names=[key, "rings", "area"])
+    def made(names: list, points: list, areas: list) -> pa.RecordBatch:
+        columns = [pa.array(names, kind), pa.array(areas, pa.float64())]
+        return pa.RecordBatch.from_arrays([columns[0], pa.array(points, schema), columns[1]] if shapes else columns, names=[key, "rings", "area"] if shapes else [key, "area"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in (key, *CELL, "raw")), strict=True))
+        names, points, areas = [], [], []
+        for place, rows in itertools.groupby(places, lambda x: x[:-1]):
+            polygons = [unpacked(x[-1]) for x in rows]
+            if shapes:
+                rings = union_rings(polygons)
+                # half the cross product of the diagonals
+                areas.append(sum(abs((r[2, 0] - r[0, 0]) * (r[3, 1] - r[1, 1]) - (r[2, 1] - r[0, 1]) * (r[3, 0] - r[1, 0])) / 2 for r in rings))
+                points.append([[{"x": x, "y": y} for x, y in r.tolist()] for r in rings])
+            else:
+                areas.append(union_area(polygons))
+            names.append(place[0])
+            if len(names) == BATCH:
+                yield made(names, points, areas)
+                names, points, areas = [], [], []
+        yield made(names, points, areas)
 
     return run
 
 
+def _unions(parts: DataFrame, key: str, limit: int, deeper: int, shapes: bool) -> DataFrame:
+    pieces = gridded(parts.select(key, "rings").where(F.col(key).isNotNull()), limit, deeper).select(key, *CELL, "raw")
+    kind = to_arrow_type(parts.schema[key].dataType)
+    sorted_ = pieces.repartition(key, *CELL).sortWithinPartitions(key, *CELL)
+    return sorted_.mapInArrow(_united(key, kind, shapes), f"{_columns(parts.select(key))}, {f'rings {RINGS}, ' if shapes else ''}area double").where("area > 0")
+
+
 def dissolved(parts: DataFrame, key: str, limit: int = LIMIT, deeper: int = DEEPER) -> DataFrame:
     """parts (key, rings) -> key, rings, area by cell: the union of a key's parts as disjoint pieces that add up.
 
     Parts of a key meet within a cell only; a key that covers many cells is never gathered.
     """
-    pieces = gridded(parts.select(key, "rings").where(F.col(key).isNotNull()), limit, deeper)
-    return pieces.groupBy(key, *CELL).applyInArrow(_united(key), f"{_columns(parts.select(key))}, rings {RINGS}, area double").where("area > 0")
+    return _unions(parts, key, limit, deeper, True)
 
 
 def union_areas(parts: DataFrame, key: str, limit: int = LIMIT, deeper: int = DEEPER) -> DataFrame:
     """parts (key, rings) -> key, area of the union of its parts."""
-    return dissolved(parts, key, limit, deeper).groupBy(key).agg(F.sum("area").alias("area"))
+    return _unions(parts, key, limit, deeper, False).groupBy(key).agg(F.sum("area").alias("area"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text
-from lodeframe.operators import upkeep
+from lodeframe.operators import spatial, upkeep
 from lodeframe.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +34,13 @@ def test_a_date_is_read_by_two_patterns(spark, capsys):
 @pytest.mark.parametrize("name", ["html_rates", "parse_dates", "station_words", "station_lookup"])
 def test_a_table_of_one_row_group_is_dealt_to_all_tasks(spark, capsys, name):
     assert "RoundRobinPartitioning" in plan(capsys, QUERIES[name](spark, SMALL))
+
+
+def test_a_long_strip_of_polygons_needs_no_second_grid(spark):
+    k = F.col("id")
+    plots = spark.range(4000).select(k.cast("string").alias("key"), spatial.rectangle(k % 4 * 4, F.floor(k / 4) * 3, k % 4 * 4 + 5, F.floor(k / 4) * 3 + 4).alias("rings"))
+    pieces = spatial.gridded(plots, limit=100)
+    assert pieces.agg(F.max("level")).first()[0] == 0
+    assert pieces.select("cx", "cy").distinct().count() > 4000 * 4 / 100
+    made = spatial.union_areas(plots, "key", limit=100).agg(F.count("area").alias("n"), F.min("area").alias("a"), F.max("area").alias("b")).first()
+    assert (made.n, made.a, made.b) == (4000, 20.0, 20.0)
