@@ -61,17 +61,18 @@ def graded(parts: DataFrame, keys: list[str], level: str, area: str, excluded: i
     return kept.select(*keys, F.round(F.col("_r") / F.col("_a"), 4).alias("area_ratio"), F.round(F.col("_w") / F.col("_a"), 4).alias("rank_avg"), "rank_max")
 
 
-def best_pairs(pairs: DataFrame, key: str, walk: str, ride: str, place: str) -> DataFrame:
+def best_pairs(pairs: DataFrame, key: str | list[str], walk: str, ride: str, place: str) -> DataFrame:
     """The pair with the least walk + ride of each key, ties by walk, then place: both numbers come from one place.
 
     A key without a complete pair keeps its least ride alone, else its least walk alone.
     """
     sums = F.struct((F.col(walk) + F.col(ride)).alias("total"), F.col(walk).alias("walk"), F.col(place).alias("place"), F.col(ride).alias("ride"))
-    best = pairs.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else key
+    best = pairs.groupBy(*keys).agg(
         F.min(F.when(F.col(walk).isNotNull() & F.col(ride).isNotNull(), sums)).alias("b"), F.min(ride).alias("_ride"), F.min(walk).alias("_walk")
     )
     return best.select(
-        key, F.col("b.place").alias(place), F.coalesce("b.walk", F.when(F.col("b").isNull(), F.col("_walk"))).alias(walk),
+        *keys, F.col("b.place").alias(place), F.coalesce("b.walk", F.when(F.col("b").isNull(), F.col("_walk"))).alias(walk),
         F.coalesce("b.ride", F.when(F.col("b").isNull(), F.col("_ride"))).alias(ride),
     )
 

@@ -50,9 +50,14 @@ def group_or_self() -> Column:
 GROUP = ["_g", "_h"]
 
 
-def _grouped(listings: DataFrame) -> DataFrame:
+def group_columns() -> list[Column]:
+    """The columns of GROUP."""
     key = group_or_self()
-    return listings.select("*", F.xxhash64(key).alias("_g"), F.xxhash64(key, F.lit(1)).alias("_h"))
+    return [F.xxhash64(key).alias("_g"), F.xxhash64(key, F.lit(1)).alias("_h")]
+
+
+def _grouped(listings: DataFrame) -> DataFrame:
+    return listings.select("*", *group_columns())
 
 
 def _order(*payload: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import numbers, text
 from lodeframe.operators import address, enrich, grouping
+from lodeframe.operators.grouping import GROUP
 from lodeframe.operators.snapshot import last_of_each
+from lodeframe.sources.stored import written
 
 #: family -> (what a market rate's segment is, what is compared with it)
 MARKET = {
@@ -25,41 +27,53 @@ def by_family(place: int) -> Column:
     return whole
 
 
-def group_access(members: DataFrame, near: DataFrame, commutes: DataFrame) -> DataFrame:
-    """gk, walk_minutes, commute_minutes: both from one station of the group where one has both, else each at its least.
+def group_access(near: DataFrame, commutes: DataFrame) -> DataFrame:
+    """The columns of GROUP, walk_minutes, commute_minutes: both from one station of the group where one has both, else each at its least.
 
-    members: listing_id, gk. near: listing_id, station_g_cd, walk. commutes: station_g_cd, ride (only those found).
+    near: the columns of GROUP, station_g_cd, walk. commutes: station_g_cd, ride (only those found).
+    A station's least walk in a group is found first, so that offers are not dealt by station.
     """
-    pairs = members.select("listing_id", "gk").join(near, "listing_id").join(commutes, "station_g_cd", "left")
-    best = enrich.best_pairs(pairs, "gk", "walk", "ride", "station_g_cd")
-    return best.select("gk", F.col("walk").alias("walk_minutes"), F.col("ride").alias("commute_minutes"))
+    pairs = near.groupBy(*GROUP, "station_g_cd").agg(F.min("walk").alias("walk")).join(commutes, "station_g_cd", "left")
+    best = enrich.best_pairs(pairs, GROUP, "walk", "ride", "station_g_cd")
+    return best.select(*GROUP, F.col("walk").alias("walk_minutes"), F.col("ride").alias("commute_minutes"))
 
 
 def group_hazards(members: DataFrame, hazards: DataFrame, towns: DataFrame) -> DataFrame:
-    """gk and the hazard columns of the finest address in the group: blocks before towns, then the smallest listing_id.
+    """The columns of GROUP and the hazard columns of the finest address in the group: blocks before towns, then the smallest listing_id.
 
     hazards: key, level and values, one row a key. towns: normalized_key, town_key of the address master.
+    Addresses are looked up once each, and the offers meet that table.
     """
     values = [c for c in hazards.columns if c not in ("key", "level")]
-    keyed = members.select("listing_id", "gk", "address_normalized").join(towns, F.col("address_normalized") == F.col("normalized_key"), "left")
-    keys = keyed.select("listing_id", "gk", F.explode(F.array_distinct(F.array_compact(F.array("address_normalized", "town_key")))).alias("key"))
-    found = keys.join(hazards, "key")
-    order = F.struct((F.col("level") != "chome").alias("coarse"), "listing_id", F.struct(*values).alias("v"))
-    return found.groupBy("gk").agg(F.min(order).alias("b")).select("gk", "b.v.*")
+    places = members.select("address_normalized").where("address_normalized is not null").distinct()
+    keyed = places.join(towns, F.col("address_normalized") == F.col("normalized_key"), "left")
+    keys = keyed.select("address_normalized", F.explode(F.array_distinct(F.array_compact(F.array("address_normalized", "town_key")))).alias("key"))
+    one = F.min(F.struct((F.col("level") != "chome").alias("coarse"), F.struct(*values).alias("v")))
+    known = written(keys.join(hazards, "key").groupBy("address_normalized").agg(one.alias("_b")))
+    found = members.select("listing_id", *GROUP, "address_normalized").join(known, "address_normalized")
+    order = F.struct("_b.coarse", "listing_id", "_b.v")
+    return found.groupBy(*GROUP).agg(F.min(order).alias("b")).select(*GROUP, "b.v.*")
 
 
 def scoring_view(offers: DataFrame, near: DataFrame, commutes: DataFrame, hazards: DataFrame, towns: DataFrame, rates: DataFrame, cities: DataFrame, asked: Column | None = None) -> DataFrame:
     """Everything that judging and notifying an offer reads: access, hazards, market rate, city, and what its group knows.
 
     asked: which offers (by id, site, city); what a group knows comes from all its members all the same.
+    near: station_g_cd, walk and listing_id, or the columns of grouping.GROUP, which spares a join.
     """
-    members = offers.withColumn("gk", grouping.group_or_self())
-    known = members.groupBy("gk").agg(F.bool_or("detail_fetched").alias("_fetched"))
+    members = offers.select("*", *grouping.group_columns())
     rows = (members if asked is None else members.where(asked)).drop("walk_minutes", "detail_fetched")
-    rows = rows.join(known.withColumnRenamed("_fetched", "detail_fetched"), "gk").join(group_access(members, near, commutes), "gk", "left").join(group_hazards(members, hazards, towns), "gk", "left")
-    latest = enrich.latest(rates, ["property_family", "city_id", "segment"], "period")
-    rows = rows.withColumn("segment", by_family(0)).join(latest, ["property_family", "city_id", "segment"], "left").join(cities, "city_id", "left")
-    return rows.withColumn("market_rate_ratio", numbers.ratio(by_family(1), F.col("rate_value"))).drop("gk")
+    if asked is not None:  # only their groups count
+        members = members.join(written(rows.select(*GROUP).distinct()), GROUP, "left_semi")
+    stops = near if set(GROUP) <= set(near.columns) else near.join(members.select("listing_id", *GROUP), "listing_id")
+    if asked is not None and stops is near:
+        stops = near.join(members.select(*GROUP).distinct(), GROUP, "left_semi")
+    known = members.groupBy(*GROUP).agg(F.bool_or("detail_fetched").alias("detail_fetched"))
+    rows = rows.join(known, GROUP).join(group_access(stops, written(commutes)), GROUP, "left").join(group_hazards(members, hazards, towns), GROUP, "left")
+    # lookups are written: by their size Spark sends them to the offers, which need not be dealt by the few values of a city or segment
+    latest = written(enrich.latest(rates, ["property_family", "city_id", "segment"], "period"))
+    rows = rows.withColumn("segment", by_family(0)).join(latest, ["property_family", "city_id", "segment"], "left").join(written(cities), "city_id", "left")
+    return rows.withColumn("market_rate_ratio", numbers.ratio(by_family(1), F.col("rate_value"))).drop(*GROUP)
 
 
 def group_rights(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,9 +186,10 @@ def regroup_totals(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def group_ranks(ranked: DataFrame) -> DataFrame:
-    """listing_id and the rank that its whole group shows: that of its ranked member. ranked: listing_id, gk, rank."""
-    best = ranked.groupBy("gk").agg(F.min("rank").alias("group_rank"))
-    return ranked.select("listing_id", "gk").join(best, "gk").select("listing_id", "group_rank")
+    """listing_id and the rank that its whole group shows: that of its ranked member. ranked: listing_id, rank and gk or the columns of grouping.GROUP."""
+    by = ["gk"] if "gk" in ranked.columns else grouping.GROUP
+    best = ranked.groupBy(*by).agg(F.min("rank").alias("group_rank"))
+    return ranked.select("listing_id", *by).join(best, by).select("listing_id", "group_rank")
 
 
 def ranking_items(scores: DataFrame, hashes: dict[str, str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """What must not grow faster than the input: plans of single steps, and their results on small frames."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,11 @@ def test_a_long_strip_of_polygons_needs_no_second_grid(spark):
     assert pieces.select("cx", "cy").distinct().count() > 4000 * 4 / 100
     made = spatial.union_areas(plots, "key", limit=100).agg(F.count("area").alias("n"), F.min("area").alias("a"), F.max("area").alias("b")).first()
     assert (made.n, made.a, made.b) == (4000, 20.0, 20.0)
+
+
+@pytest.mark.parametrize("name", ["group_rank", "unset_marks", "scoring_view", "scoring_view_of_site", "price_anomalies"])
+def test_offers_are_dealt_by_their_group_alone(spark, capsys, name):
+    """Neither by long texts nor by the few values of a city, segment, station or address."""
+    made = plan(capsys, QUERIES[name](spark, SMALL)).split("== Physical Plan ==")[1]
+    dealt = set(re.findall(r"hashpartitioning\((\w+?)#", made))
+    assert dealt <= {"_g", "listing_id"}
