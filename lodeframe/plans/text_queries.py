@@ -189,9 +189,8 @@ def route_legs(spark, sf_dir):
     n = F.col("l_quantity").cast("int")
     body = spelt("乗換：", F.col("l_linenumber") % 4, "回\n所要時間：1時間", n, "分\n08:00発 P", F.col("l_partkey") % 40, "\n↓ 本線 急行\n↓ ", n, "分 200円\n09:00着 P", F.col("l_suppkey") % 30)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = table(spark, sf_dir, "lineitem").select(F.to_json(F.struct(*keys)).alias("k"), body.alias("t"))
-    made = stations.legs(rows, "k", "t").select(F.from_json("k", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").alias("k"), "from_name", "to_name", "minutes", "transfers", "total_minutes")
-    return made.select("k.*", "from_name", "to_name", "minutes", "transfers", "total_minutes")
+    rows = table(spark, sf_dir, "lineitem").select(F.struct(*keys).alias("k"), body.alias("t"))
+    return stations.legs(rows, "k", "t").select("k.*", "from_name", "to_name", "minutes", "transfers", "total_minutes")
 
 
 @query(
