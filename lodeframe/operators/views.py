@@ -77,37 +77,39 @@ def scoring_view(offers: DataFrame, near: DataFrame, commutes: DataFrame, hazard
 
 
 def group_rights(members: DataFrame, keys: list[str]) -> DataFrame:
-    """gk, leasehold: whether any member says in any of the named attributes that the land is leased; no, if some say it is owned; null if none can be read.
+    """The columns of GROUP, leasehold: whether any member says in any of the named attributes that the land is leased; no, if some say it is owned; null if none can be read.
 
-    members: gk, attributes (map of texts).
+    members: the columns of GROUP, attributes (map of texts).
     """
-    said = members.select("gk", F.explode(F.array(*(F.try_element_at("attributes", F.lit(k)) for k in keys))).alias("_r")).where("_r is not null")
-    return said.groupBy("gk").agg(grouping.folded_flag(text.leasehold(F.col("_r"))).alias("leasehold"))
+    said = members.select(*GROUP, F.explode(F.array(*(F.try_element_at("attributes", F.lit(k)) for k in keys))).alias("_r")).where("_r is not null")
+    return said.groupBy(*GROUP).agg(grouping.folded_flag(text.leasehold(F.col("_r"))).alias("leasehold"))
 
 
 def group_build_condition(members: DataFrame, raw: str, saved: str) -> DataFrame:
-    """gk, build_condition: a member's text counts before its stored flag; one member with a condition is enough.
+    """The columns of GROUP, build_condition: a member's text counts before its stored flag; one member with a condition is enough.
 
-    members: gk, attributes (map of texts; the stored flag is true or false).
+    members: the columns of GROUP, attributes (map of texts; the stored flag is true or false).
     """
     words, flag = F.try_element_at("attributes", F.lit(raw)), F.try_element_at("attributes", F.lit(saved))
     stored = F.when(flag == "true", True).when(flag == "false", False)
     one = F.when(F.coalesce(words, F.lit("")) != "", text.build_condition(words)).otherwise(stored)
-    return members.where(words.isNotNull() | flag.isNotNull()).groupBy("gk").agg(grouping.folded_flag(one).alias("build_condition"))
+    return members.where(words.isNotNull() | flag.isNotNull()).groupBy(*GROUP).agg(grouping.folded_flag(one).alias("build_condition"))
 
 
 def group_stations(members: DataFrame, near: DataFrame, commutes: DataFrame) -> DataFrame:
-    """gk, stations: what a notice lists of all members' matched stations, nearest first: struct(station_g_cd, name, walk, ride).
+    """The columns of GROUP, stations: what a notice lists of all members' matched stations, nearest first: struct(station_g_cd, name, walk, ride).
 
     A station counts once, with its least walk and its first name; an unknown walk comes last.
-    near: listing_id, station_g_cd, name, walk, status; commutes: station_g_cd, ride.
+    near: listing_id or the columns of GROUP, station_g_cd, name, walk, status; commutes: station_g_cd, ride.
     """
-    found = members.select("gk", "listing_id").join(near.where("status = 'matched'"), "listing_id")
-    one = found.groupBy("gk", "station_g_cd").agg(F.min("name").alias("name"), F.min("walk").alias("walk"))
-    one = one.join(commutes.groupBy("station_g_cd").agg(F.max("ride").alias("ride")), "station_g_cd", "left")
+    found = near.where("status = 'matched'")
+    if not set(GROUP) <= set(near.columns):
+        found = members.select(*GROUP, "listing_id").join(found, "listing_id")
+    one = found.groupBy(*GROUP, "station_g_cd").agg(F.min("name").alias("name"), F.min("walk").alias("walk"))
+    one = one.join(written(commutes.groupBy("station_g_cd").agg(F.max("ride").alias("ride"))), "station_g_cd", "left")
     order = F.struct(F.col("walk").isNull().alias("u"), "walk", "name", "station_g_cd", "ride")
-    listed = one.groupBy("gk").agg(F.array_sort(F.collect_list(order)).alias("s"))  # the stations around one home
-    return listed.select("gk", F.transform("s", lambda x: F.struct(x["station_g_cd"].alias("station_g_cd"), x["name"].alias("name"), x["walk"].alias("walk"), x["ride"].alias("ride"))).alias("stations"))
+    listed = one.groupBy(*GROUP).agg(F.sort_array(F.collect_list(order)).alias("s"))  # the stations around one home
+    return listed.select(*GROUP, F.transform("s", lambda x: F.struct(x["station_g_cd"].alias("station_g_cd"), x["name"].alias("name"), x["walk"].alias("walk"), x["ride"].alias("ride"))).alias("stations"))
 
 
 def with_group_knowledge(view: DataFrame, offers: DataFrame, near: DataFrame, commutes: DataFrame, rights: list[str], raw: str, saved: str, utility: Column) -> DataFrame:
@@ -115,13 +117,18 @@ def with_group_knowledge(view: DataFrame, offers: DataFrame, near: DataFrame, co
 
     Every fold is a partial aggregate by group, joined once by the group's key; utility is estimated from the group's
     features, as `utility` says (see numbers.estimated_utility). offers: the columns of grouping, attributes among them.
+    A view or near that has the columns of grouping.GROUP needs no join by listing_id.
     """
-    members = offers.withColumn("gk", grouping.group_or_self()).select("listing_id", "gk", "attributes")
-    features = grouping.union_features(offers)
-    rows = view.drop("feature_codes").join(members.select("listing_id", "gk"), "listing_id").join(features, "listing_id")
+    members = offers.select("listing_id", "feature_codes", "attributes", *grouping.group_columns())
+    codes = members.groupBy(*GROUP).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("feature_codes")))).alias("feature_codes"))
+    codes = codes.withColumn("feature_codes", F.coalesce("feature_codes", F.array().cast("array<string>")))
+    rows = view.drop("feature_codes")
+    if not set(GROUP) <= set(view.columns):
+        rows = rows.join(members.select("listing_id", *GROUP), "listing_id")
+    rows = rows.join(codes, GROUP)
     for known in (group_stations(members, near, commutes), group_rights(members, rights), group_build_condition(members, raw, saved)):
-        rows = rows.join(known, "gk", "left")
-    return rows.withColumn("utility", utility).drop("gk")
+        rows = rows.join(known, GROUP, "left")
+    return rows.withColumn("utility", utility).drop(*GROUP)
 
 
 def resolved_city(texts: DataFrame, cities: DataFrame, column: str, scope: list[str]) -> DataFrame:
