@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import text
-from lodeframe.operators import spatial, upkeep
+from lodeframe.operators import grouping, spatial, stations, upkeep
 from lodeframe.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,9 +48,25 @@ def test_a_long_strip_of_polygons_needs_no_second_grid(spark):
     assert (made.n, made.a, made.b) == (4000, 20.0, 20.0)
 
 
-@pytest.mark.parametrize("name", ["group_rank", "unset_marks", "scoring_view", "scoring_view_of_site", "price_anomalies"])
+@pytest.mark.parametrize("name", ["group_rank", "unset_marks", "scoring_view", "scoring_view_of_site", "price_anomalies", "group_knowledge"])
 def test_offers_are_dealt_by_their_group_alone(spark, capsys, name):
     """Neither by long texts nor by the few values of a city, segment, station or address."""
     made = plan(capsys, QUERIES[name](spark, SMALL)).split("== Physical Plan ==")[1]
     dealt = set(re.findall(r"hashpartitioning\((\w+?)#", made))
     assert dealt <= {"_g", "listing_id"}
+
+
+def test_sites_of_a_group_as_one_text(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 12, "active"), (2, "a", 2, "active"), (3, "a", 112, "active"), (4, "a", 2, "active"), (5, "a", 7, "sold"), (6, None, 2, "active"), (7, "b", 3, "sold"), (8, "c", 5, "active")],
+        "listing_id long, dedup_key string, site_id long, status string",
+    ).select("*", F.lit(1).alias("site_priority"), F.col("listing_id").alias("rent_total"), F.lit(None).cast("long").alias("price"), F.lit(0).alias("feature_count"))
+    as_text = {r.listing_id: (r.member_count, r.other_sites, r.is_representative) for r in grouping.membership_texts(rows).collect()}
+    assert as_text == {r.listing_id: (r.member_count, ",".join(map(str, r.other_sites)), r.is_representative) for r in grouping.membership(rows).collect()}
+    assert as_text[1] == (5, "2,112", True) and as_text[5] == (5, "2,12,112", False) and as_text[6] == (1, "", True) and as_text[7] == (1, "", False)
+
+
+def test_legs_keep_a_key_of_any_type(spark):
+    body = "乗換：1回\n所要時間：1時間2分\n08:00発 A\n↓ 本線\n↓ 9分\n09:00着 B"
+    made = stations.legs(spark.createDataFrame([((1, "x"), body), ((2, "y"), None)], "k struct<a: int, b: string>, t string"), "k", "t").collect()
+    assert [(tuple(r.k), r.leg, r.transfers, r.total_minutes, r.from_name, r.to_name, r.minutes) for r in made] == [((1, "x"), 0, 1, 62, "A", "B", 9)]
