@@ -66,6 +66,27 @@ def test_sites_of_a_group_as_one_text(spark):
     assert as_text[1] == (5, "2,112", True) and as_text[5] == (5, "2,12,112", False) and as_text[6] == (1, "", True) and as_text[7] == (1, "", False)
 
 
+def test_a_text_of_many_sites_is_joined_of_pieces(spark):
+    k = F.col("id")
+    large = spark.range(200).select(k.alias("listing_id"), F.lit("a").alias("dedup_key"), (k * 7 % 200 + 1).alias("site_id"), F.when(k % 10 == 3, "sold").otherwise("active").alias("status"))
+    odd = [(900, "b", None, "active"), (901, "b", 5, "active"), (902, "b", 6, "active"), (903, None, None, "active"), (904, "c", None, "sold"), (905, "d", 8, "sold"), (906, "e", -4, "active"), (907, "e", 14, "active")]
+    rows = large.unionByName(spark.createDataFrame(odd, "listing_id long, dedup_key string, site_id long, status string")).select(
+        "*", F.lit(1).alias("site_priority"), F.col("listing_id").alias("rent_total"), F.lit(None).cast("long").alias("price"), F.lit(0).alias("feature_count")
+    )
+    made = grouping.membership_texts(rows)
+    got = {r.listing_id: (r.member_count, r.other_sites, r.is_representative) for r in made.collect()}
+    sites = sorted(n * 7 % 200 + 1 for n in range(200) if n % 10 != 3)
+    for n in range(200):
+        assert got[n] == (200, ",".join(str(x) for x in sites if x != n * 7 % 200 + 1), n == 0)
+    assert [got[n] for n in range(900, 908)] == [(3, "", True), (3, "6", False), (3, "5", False), (1, "", True), (1, "", False), (1, "", False), (2, "14", True), (2, "-4", False)]
+
+
+def test_members_meet_their_group_sorted_and_offers_are_read_twice(spark, capsys):
+    made = plan(capsys, QUERIES["group_members"](spark, SMALL)).split("== Physical Plan ==")[1]
+    assert made.count("FileScan parquet") == 2 and "SortMergeJoin" in made and "Broadcast" not in made
+    assert "trim(" not in made and "instr(" not in made
+
+
 def test_legs_keep_a_key_of_any_type(spark):
     body = "乗換：1回\n所要時間：1時間2分\n08:00発 A\n↓ 本線\n↓ 9分\n09:00着 B"
     made = stations.legs(spark.createDataFrame([((1, "x"), body), ((2, "y"), None)], "k struct<a: int, b: string>, t string"), "k", "t").collect()
